@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.llm import bpe, embed_dedup, exact_dedup, mixing, ngram_join, quality
+from landgrid.llm import bpe, embed_dedup, exact_dedup, mixing, ngram_join, quality, substring_dedup
 from landgrid.registry import Registry, table
 
 REGISTRY = Registry()
@@ -57,3 +57,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op9_embed_dedup")
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@REGISTRY.add("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
