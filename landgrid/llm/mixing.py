@@ -34,37 +34,54 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return s.withColumn("level", level).select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every row of docs: how often the mix takes it.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs and __source, __size, __h: what the mix goes by."""
+    return docs.withColumns({"__source": F.col(source_col), "__size": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(NON_SPACES)).cast("bigint"), "__h": order_hash(F.col(id_col), F.col(text_col))})
 
-    size counts runs of non-space characters; null text counts 0. A source whose target is below its size takes the documents of the
-    smallest hashes; one above takes all and those again. Cutting at a hash needs no sort: sizes are summed by source and 15-bit hash
-    bucket, the bucket in which the budget ends is refined by the next 15 bits, and so on; then one filter compares hashes with the
-    thresholds. A unit of equal hash at the threshold is taken if that brings the source nearer to its target. Equal ids have equal
-    hashes and are one unit; a null id is hashed by its text. Sources may be null; empty tables give empty results. Same input, same rows.
+
+def thresholds(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, int]:
+    """One row a source (of, source_size, target, full, prefix, with_unit), and the number of sources. sizes: source, size, h.
+
+    A source's documents are taken `full` times, and once more below the hash `prefix`, and at it if with_unit. Cutting at a hash needs
+    no sort: sizes are summed by source and 15-bit hash bucket, the bucket in which the budget ends is refined by the next 15 bits, and
+    so on. A unit of equal hash at the threshold is taken if that brings the source nearer to its target.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(NON_SPACES)).cast("bigint").alias("size"), order_hash(F.col(id_col), F.col(text_col)).alias("h"))
-    sized = cut(sized, "sizes")
-    targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most), "targets")
+    targets = cut(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most), "targets")
     n_sources = targets.count()
-
     full = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("bigint")
     edge = targets.select("source", full.alias("full"), (F.col("target") - full * F.col("source_size")).alias("left"), F.lit(0).cast("bigint").alias("prefix"))
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
-        e = bounded(edge.select(F.col("source").alias("s"), "full", "left", "prefix"), n_sources, 64)
-        inside = sized.join(e, sized.source.eqNullSafe(F.col("s")) & (F.shiftright("h", shift + STEP_BITS) == F.col("prefix")))
-        sums = inside.groupBy("source", F.shiftright("h", shift).alias("at")).agg(F.sum("size").alias("sum"), F.first("full").alias("full"), F.first("left").alias("left"))
+        e = bounded(edge.select(F.col("source").alias("s"), "left", "prefix"), n_sources, 64)
+        inside = sizes.join(e, sizes.source.eqNullSafe(F.col("s")) & (F.shiftright("h", shift + STEP_BITS) == F.col("prefix")))
+        sums = inside.groupBy("source", F.shiftright("h", shift).alias("at")).agg(F.sum("size").alias("sum"), F.first("left").alias("left"))
         so_far = F.sum("sum").over(Window.partitionBy("source").orderBy("at"))
         over = sums.withColumn("so_far", so_far).where("so_far > left")
-        at = over.groupBy("source").agg(F.min(F.struct("at", "full", (F.col("left") - (F.col("so_far") - F.col("sum"))).alias("left"), "sum")).alias("x"))
-        edge = cut(at.select("source", "x.full", "x.left", F.col("x.at").alias("prefix"), F.col("x.sum").alias("unit")), "edge")
-
+        at = over.groupBy("source").agg(F.min(F.struct("at", (F.col("left") - (F.col("so_far") - F.col("sum"))).alias("left"), "sum")).alias("x"))
+        edge = cut(at.select("source", "x.left", F.col("x.at").alias("prefix"), F.col("x.sum").alias("unit")), "edge")
     limits = targets.join(edge.select(F.col("source").alias("s"), "left", "prefix", "unit"), targets.source.eqNullSafe(F.col("s")), "left")
-    limits = limits.select(F.col("source").alias("of"), "source_size", "target", full.alias("full"), "prefix", (2 * F.col("left") >= F.col("unit")).alias("with_unit"))
-    out = sized.join(bounded(limits, n_sources, 80), sized.source.eqNullSafe(F.col("of")))
-    more = F.when(F.col("prefix").isNull(), F.col("target") > F.col("full") * F.col("source_size")).otherwise((F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("with_unit")))
-    out = out.withColumn("copies", F.col("full") + more.cast("bigint"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return limits.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), full.alias("__full"), F.col("prefix").alias("__prefix"), (2 * F.col("left") >= F.col("unit")).alias("__with_unit")), n_sources
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", payload: bool = False) -> DataFrame:
+    """docs and, of each row: size, source_size, target, copies, taken; how often, and with how many words, the mix takes it.
+
+    Without payload only the id, the source and those columns come back, and docs are read once; with it, all columns of docs do, read again.
+    size counts runs of non-space characters; null text counts 0. A source whose target is below its size takes the documents of the
+    smallest hashes; one above takes all and those again. Equal ids have equal hashes and are one unit; a null id is hashed by its text.
+    Sources may be null; empty tables give empty results. Same input, same rows.
+    """
+    made = ["size", "source_size", "target", "copies", "taken"]
+    base = docs.drop(*made)
+    wide = sized(base if payload else base.select(*dict.fromkeys([id_col, text_col, source_col])), id_col, text_col, source_col)
+    narrow = wide.select(*dict.fromkeys([id_col, source_col]), "__source", "__size", "__h")
+    stored = cut(narrow, "sizes")
+    limits, n_sources = thresholds(stored.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), weights, share, most)
+    rows = wide if payload else stored
+    out = rows.join(bounded(limits, n_sources, 80), rows["__source"].eqNullSafe(F.col("__of")))
+    more = F.when(F.col("__prefix").isNull(), F.col("__target") > F.col("__full") * F.col("__source_size")).otherwise((F.col("__h") < F.col("__prefix")) | ((F.col("__h") == F.col("__prefix")) & F.col("__with_unit")))
+    out = out.withColumn("copies", F.col("__full") + more.cast("bigint"))
+    keep = base.columns if payload else dict.fromkeys([id_col, source_col])
+    return out.select(*keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
 def mix_sql(source: str, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> str:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.llm import bpe, embed_dedup, exact_dedup, mixing, ngram_join, quality, substring_dedup
+from landgrid.llm import bpe, embed_dedup, exact_dedup, html_extract, licenses, mixing, ngram_join, quality, substring_dedup, token_files
+from landgrid.llm.common import cut, scratch_path
 from landgrid.registry import Registry, table
 
 REGISTRY = Registry()
@@ -64,3 +65,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@REGISTRY.add("op1_licenses")
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda m: m["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0))
+    return out.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"), listed(F.filter("matches", lambda m: m["found"])).alias("labels"), score.alias("score"))
+
+
+#: The id that no pre-token encodes to.
+END_OF_DOCUMENT = 50_256
+
+
+@REGISTRY.add("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the encoded documents as flat token files, then counts every document's tokens from the files alone."""
+    folder = scratch_path(spark, "tokens")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, BPE_PATTERN)
+    written = cut(token_files.write_token_files(ids, folder, END_OF_DOCUMENT), "written")
+    counts = token_files.token_counts(spark, folder, END_OF_DOCUMENT)
+    return written.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@REGISTRY.add("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
