@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
 
+#: Drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[tuple[object, object]] = []
 
 
@@ -47,16 +52,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs whose results have been cut."""
-    gc.collect()
-    spark._jvm.System.gc()
+    Shuffle files of the write are dropped once it is done, as nothing reads them again.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a task's batches: what a worker turns into Python objects at once stays small. Memory goes back when the task ends."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and would otherwise hold the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def bounded(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import bounded, connected_components, cut, salted_totals
+from landgrid.llm.common import bounded, connected_components, cut, give_back, rows_at_a_time, salted_totals
 
 WORD = re.compile(r"\w+")
 SEED = 20_240_607
@@ -20,7 +19,7 @@ SEED = 20_240_607
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -93,22 +92,20 @@ def _sign(n: int, bands: int, rows: int):
     """Class hash of the shingle set and band keys of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [shingles(t, n) for t in texts[at : at + 256]]
-                some = [i for i, s in enumerate(sets) if len(s)]
-                keys: list[list[int] | None] = [None] * len(sets)
-                cls: list[bytes | None] = [None] * len(sets)
-                if some:
-                    sig = signatures([sets[i] for i in some], bands * rows)
-                    h = np.zeros((len(some), bands), np.uint64)
-                    for r in range(rows):
-                        h = _mixed(h ^ sig[:, r::rows].astype(np.uint64)) + np.uint64(r)
-                    for i, key in zip(some, h.view(np.int64), strict=True):
-                        keys[i] = key.tolist()
-                        cls[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "bands"])
+        for batch in rows_at_a_time(batches):
+            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            keys: list[list[int] | None] = [None] * len(sets)
+            cls: list[bytes | None] = [None] * len(sets)
+            if some:
+                sig = signatures([sets[i] for i in some], bands * rows)
+                h = np.zeros((len(some), bands), np.uint64)
+                for r in range(rows):
+                    h = _mixed(h ^ sig[:, r::rows].astype(np.uint64)) + np.uint64(r)
+                for i, key in zip(some, h.view(np.int64), strict=True):
+                    keys[i] = key.tolist()
+                    cls[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "bands"])
 
     return run
 
@@ -117,21 +114,23 @@ def _payload(n: int, k: int):
     """Shingles and signature of the candidates' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [shingles(t, n) for t in texts[at : at + 256]]
-                sig = signatures(sets, k)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(sets)) for c in batch.columns[1:]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], [*batch.schema.names[1:], "shingles", "sig"])
+        for batch in rows_at_a_time(batches, 64):
+            sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
+            sig = signatures(sets, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], [*batch.schema.names[1:], "shingles", "sig"])
 
     return run
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def compare_block(ids: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, threshold: float, limits: list[int], step: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i of left, j of right; each once if same) whose exact Jaccard is at least the threshold."""
     size = np.array([len(s) for s in sets], np.int64)
-    bags: dict[int, set] = {}
-    bag = lambda i: bags.setdefault(i, set(sets[i].tolist()))
     for i in left:
         j = right[right > i] if same else right
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
@@ -144,8 +143,7 @@ def compare_block(ids: np.ndarray, left: np.ndarray, right: np.ndarray, sets: li
             stay = match >= limit
             j, match = j[stay], match[stay]
         if len(j):
-            a = bag(int(i))
-            both = np.array([len(a & bag(int(x))) for x in j], np.int64)
+            both = np.array([common(sets[i], sets[x]) for x in j], np.int64)
             ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
             if ok.any():
                 yield np.full(ok.sum(), i), j[ok]
@@ -184,6 +182,8 @@ def _cell(threshold: float, limits: list[int], step: int):
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         pairs = compare_block(ids, left, right, sets, sig, threshold, limits, step, True) if diagonal else compare_block(ids, left, right, sets, sig, threshold, limits, step, False) if low != high else iter(())
         links, root = _roots(len(ids), pairs, weight)
+        if len(ids) >= 64:
+            give_back()
         return pa.table({"rep": ids, "root": ids[root], "links": links})
 
     return run
