@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import cut, free_shuffles
+from landgrid.llm.common import bounded, cut, give_back, rows_at_a_time, salted_totals
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -73,7 +73,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     """Rows, as lists of columns, of about FLUSH bytes of text (the last column) at a time."""
     held: list[tuple] = []
     size = 0
-    for batch in batches:
+    for batch in rows_at_a_time(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(row)
             size += len(row[-1])
@@ -82,6 +82,8 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
                 held, size = [], 0
     if held:
         yield [list(c) for c in zip(*held, strict=True)]
+        held = []
+    give_back()
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -232,16 +234,23 @@ class Suffixes:
         self.wide = text.shape[1]
         self.p = prefix_hashes(text).ravel()
         self.inverse = _power_tables(self.wide + 1)[1]
+        self.at = r * (self.wide + 1) + a
+        every = np.arange(len(r))
+        #: Hash of all `length` bytes, and the first eight as a number: most comparisons end with one of them.
+        self.whole = self.hashed(every, length)
+        flat, start = text.ravel(), r * self.wide + a
+        self.lead = np.zeros(len(r), np.uint64)
+        for i in range(min(8, length)):
+            self.lead = (self.lead << np.uint64(8)) | flat[start + i]
 
     def hashed(self, i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        at = self.r[i] * (self.wide + 1) + self.a[i]
+        at = self.at[i]
         return (self.p[at + n] - self.p[at]) * self.inverse[self.a[i]]
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes i and j."""
         low, high = np.zeros(len(i), np.int64), np.full(len(i), self.length, np.int64)
-        whole = self.hashed(i, self.length) == self.hashed(j, self.length)
-        low[whole] = self.length
+        low[self.whole[i] == self.whole[j]] = self.length
         for _ in range(int(self.length).bit_length()):
             mid = (low + high + 1) // 2
             same = self.hashed(i, mid) == self.hashed(j, mid)
@@ -250,12 +259,15 @@ class Suffixes:
 
     def before(self, i: np.ndarray, j: np.ndarray, or_same: np.ndarray) -> np.ndarray:
         """Whether suffix i sorts before j, or, where or_same, is equal."""
-        n = self.extension(i, j)
-        full = n >= self.length
-        n = np.where(full, 0, n)
-        flat = self.text.ravel()
-        less = flat[self.r[i] * self.wide + self.a[i] + n] < flat[self.r[j] * self.wide + self.a[j] + n]
-        return np.where(full, or_same, less)
+        a, b = self.lead[i], self.lead[j]
+        out = np.where(self.whole[i] == self.whole[j], or_same, a < b)
+        open_ = np.flatnonzero((a == b) & (self.whole[i] != self.whole[j]))
+        if len(open_):
+            i, j = i[open_], j[open_]
+            n = np.minimum(self.extension(i, j), self.length - 1)
+            flat = self.text.ravel()
+            out[open_] = flat[self.r[i] * self.wide + self.a[i] + n] < flat[self.r[j] * self.wide + self.a[j] + n]
+        return out
 
     def sort(self, group: np.ndarray) -> np.ndarray:
         """Order of all suffixes within their groups (of neighbours), by a bottom-up mergesort; each element's place in a merge is its own
@@ -360,6 +372,7 @@ def _decide(length: int, k: int):
         order = np.lexsort((off[:, 0], row, doc))
         doc, row, off = doc[order], row[order], off[order]
         s = _runs(doc) if not len(doc) else np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1, [len(doc)]])
+        give_back()
         return pa.table({"doc": pa.array(doc[s[:-1]], pa.int64()), "row": pa.array(row[s[:-1]], pa.int64()), "at": pa.array([merged(off[x:y]).astype(np.int32).tobytes() for x, y in zip(s, s[1:], strict=False)], pa.binary())})
 
     return run
@@ -377,10 +390,11 @@ def merged(ranges: np.ndarray) -> np.ndarray:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in rows_at_a_time(batches):
         spans, kept = [], []
         for at, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            r = merged(np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in at])) if at else np.zeros((0, 2), np.int32)
+            # A null among the ranges stands for the whole text.
+            r = np.array([[0, len(text)]]) if at and at[0] is None else merged(np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in at])) if at else np.zeros((0, 2), np.int32)
             spans.append([{"start": int(a), "end": int(b)} for a, b in r])
             edges = [0, *r.ravel().tolist(), len(text)]
             kept.append(b"".join(text[edges[x] : edges[x + 1]] for x in range(0, len(edges), 2)))
@@ -394,6 +408,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     Texts are UTF-8 bytes, null and empty ones have none. A null id counts as larger than any other, equal ids as no smaller than each
     other. Matches don't cross documents. Columns other than the two named aren't read.
 
+    Of equal texts only the smallest document's is looked at: the others are covered whole. Then:
     1. Of every window the smallest k-gram by hash is an anchor. Anchors are packed by hash bucket, and those of several documents found.
     2. Around these, the surroundings of up to length - k bytes on each side are gathered by anchor. Equal ones collapse: all but the smallest
        document's are covered whole. Where the surroundings of one anchor differ, the suffixes that start in them are sorted by hash-compared
@@ -402,23 +417,26 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     Buckets grow in number with the text, not in size; what many documents share is collapsed before it is sent.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     at = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     total = at.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, -(-total // bucket_bytes)))
-    long = at.where(F.octet_length("text") >= length)
+    sums = at.where(F.octet_length("text") >= length).select("doc", "row", F.unhex(F.sha2("text", 256)).alias("sha"))
+    least = salted_totals(sums, ["sha"], F.struct("doc", "row"), {"first": F.min("doc")}, {"first": F.min("first")})
+    copies = cut(least.where("doc > first").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct(), "copies")
+    copies = bounded(copies.withColumn("copy", F.lit(True)), copies.count(), 32)
+    long = at.where(F.octet_length("text") >= length).join(copies, (F.col("doc") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left").drop("__doc", "__row")
+    whole = long.where("copy").select("id", F.array(F.lit(None).cast("binary")).alias("at"), "text")
+    long = long.where("copy is null").drop("copy")
 
     names = lambda columns: "bucket int, " + ", ".join(f"{c} binary" for c in columns)
     found = long.select("doc", "text").mapInArrow(_find(length, k, buckets), names(FOUND))
     places = found.groupBy("bucket").applyInArrow(_repeated, "doc bigint, at binary").groupBy("doc").agg(F.collect_list("at").alias("at"))
     places = cut(places, "places").withColumnRenamed("doc", "of")
-    free_shuffles(spark)
     near = long.join(places, long.doc == places.of).select("doc", "row", "at", "text")
     snips = near.mapInArrow(_snippets(length, k, buckets), names(SNIPS))
     ranges = snips.groupBy("bucket").applyInArrow(_decide(length, k), "doc bigint, row bigint, at binary").groupBy("doc", "row").agg(F.collect_list("at").alias("at"))
     ranges = cut(ranges, "ranges").select(F.col("doc").alias("of"), F.col("row").alias("of_row"), "at")
-    free_shuffles(spark)
     both = long.join(ranges, (long.doc == ranges.of) & (long.row == ranges.of_row), "left").select("id", "at", "text")
     short = at.where(F.octet_length("text") < length).select("id", F.lit(None).cast("array<binary>").alias("at"), "text")
-    return both.unionByName(short).mapInArrow(_apply, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").withColumnRenamed("id", id_col)
+    return both.unionByName(whole).unionByName(short).mapInArrow(_apply, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").withColumnRenamed("id", id_col)
