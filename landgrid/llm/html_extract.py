@@ -11,7 +11,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from landgrid.llm.common import rows_at_a_time
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -439,13 +441,12 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
     model = model or fitted()
     at = pages.drop(out_col) if out_col != html_col else pages
     names = at.columns
-    schema = at.schema.add("__made", "string")
+    schema = T.StructType([*at.schema.fields, T.StructField("__made", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 64):
             texts = batch.column(names.index(html_col)).to_pylist()
-            for i in range(0, len(texts), 64):
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 64) for c in batch.columns), pa.array(extract(texts[i : i + 64], model), pa.string())], [*names, "__made"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extract(texts, model), pa.string())], [*names, "__made"])
 
     out = at.mapInArrow(run, schema)
     return out.drop(out_col).withColumnRenamed("__made", out_col)
