@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landgrid.llm.common import rows_at_a_time
+
 #: Words of a text whose ASCII letters are in lower case: ASCII digits and letters, and all bytes of other characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -70,6 +72,7 @@ class Template:
     phrases: list[list[bytes]]
     base: bool
     weight: list[float] = field(default_factory=list)
+    need: int = 1
 
 
 class LicenseIndex:
@@ -86,6 +89,8 @@ class LicenseIndex:
             # A phrase is led to by its rarest word alone: every place of the phrase has it once.
             least = max(t.weight) * (1 if t.base else RARE)
             led = [p for p, w in enumerate(t.weight) if w >= least - 1e-12]
+            # A template of several rare words is looked at where two of them agree on its start.
+            t.need = 2 if len(led) > 2 and not t.base else 1
             for p in led[:1] if t.base else led:
                 self.postings[t.words[p]].append((i, p))
         self.idf = idf
@@ -97,28 +102,35 @@ class LicenseIndex:
         hits = [(i, w) for i, w in enumerate(words) if w in postings]
         if not hits:
             return len(words), []
-        starts: dict[int, set[int]] = defaultdict(set)
+        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in sorted(hits, key=lambda h: -self.idf[h[1]]):
             for t, p in postings[w]:
-                starts[t].add(i - p)
+                starts[t].append((i - p, p))
         found = []
         for t, at in starts.items():
             template = self.templates[t]
-            found += self._exact(words, template, at) if template.base else self._near(words, template, sorted(at))
+            if template.base:
+                found += self._exact(words, template, {s for s, _ in at})
+            elif len(at) >= template.need:
+                found += self._near(words, template, sorted(at))
         return len(words), found
 
     def _exact(self, words: list[bytes], t: Template, at: set[int]) -> list[dict]:
         n = len(t.words)
         return [{"label": t.label, "base": True, "start": s, "end": s + n, "coverage": 1.0, "found": True} for s in sorted(at) if s >= 0 and words[s : s + n] == t.words]
 
-    def _near(self, words: list[bytes], t: Template, at: list[int]) -> list[dict]:
+    def _near(self, words: list[bytes], t: Template, led: list[tuple[int, int]]) -> list[dict]:
         """Starts within SLACK of each other are one place; a template word counts if it stands in its place for one of them."""
-        out, i, n = [], 0, len(t.words)
+        out, i, n, at = [], 0, len(t.words), [s for s, _ in led]
         while i < len(at):
             j = i
             while j < len(at) and at[j] <= at[i] + SLACK:
                 j += 1
-            covered = sum(w for p, w in enumerate(t.weight) if any(0 <= s + p < len(words) and words[s + p] == t.words[p] for s in at[i:j])) / sum(t.weight)
+            if len({p for _, p in led[i:j]}) < t.need:
+                i += 1
+                continue
+            near = sorted(set(at[i:j]))
+            covered = sum(w for p, w in enumerate(t.weight) if any(0 <= s + p < len(words) and words[s + p] == t.words[p] for s in near)) / sum(t.weight)
             low, high = max(0, at[i] - SLACK), min(len(words), at[j - 1] + n + SLACK)
             whole = covered >= COVER and all(_holds(words, low, high, phrase) for phrase in t.phrases)
             if whole or covered >= SHOWN:
@@ -147,7 +159,7 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex | None = None, id_col: st
     index = index or LicenseIndex()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             got = [index.scan(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([m for _, m in got], pa.list_(MATCH))], ["id", "n_words", "matches"])
 
