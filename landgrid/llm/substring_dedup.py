@@ -14,7 +14,7 @@ from landgrid.llm.common import bounded, cut, give_back, rows_at_a_time, salted_
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = 2**63 - 1  # stands for null: no id is larger
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -270,10 +270,21 @@ class Suffixes:
         return out
 
     def sort(self, group: np.ndarray) -> np.ndarray:
-        """Order of all suffixes within their groups (of neighbours), by a bottom-up mergesort; each element's place in a merge is its own
-        place in its run and its rank in the other run, found by binary search."""
+        """Order of all suffixes within their groups (of neighbours): by the first eight bytes, then by mergesort among those that share
+        them, unless these are all the same string."""
+        order = np.lexsort((self.lead, np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))))
+        lead, g = self.lead[order], group[order]
+        s = np.concatenate([[0], np.flatnonzero((lead[1:] != lead[:-1]) | (g[1:] != g[:-1])) + 1, [len(order)]])
+        whole, size = self.whole[order], np.diff(s)
+        mixed = np.repeat(np.minimum.reduceat(whole, s[:-1]) != np.maximum.reduceat(whole, s[:-1]), size)
+        if mixed.any():
+            order[mixed] = self.merged(order[mixed], np.repeat(np.arange(len(size)), size)[mixed])
+        return order
+
+    def merged(self, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """A bottom-up mergesort; each element's place in a merge is its own place in its run and its rank in the other run, found by binary
+        search."""
         n = len(group)
-        order = np.arange(n)
         s = _runs(group)
         start, end = np.repeat(s[:-1], np.diff(s)), np.repeat(s[1:], np.diff(s))
         at = np.arange(n) - start
@@ -300,7 +311,8 @@ class Suffixes:
 
 def shared_windows(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, a): the windows at byte a of surroundings i that a smaller document's surroundings of the same anchor hold as well.
-    Rows come sorted by anchor. Suffixes whose first `length` bytes have a hash of their own are left out of the sort."""
+    Rows come sorted by anchor. Suffixes whose first `length` bytes have a hash of their own are left out of the sort, and of those that
+    share one only the first is sorted."""
     reach = length - k
     first = reach - left.astype(np.int64)
     spare = left.astype(np.int64) + k + right - length + 1  # windows of each
@@ -310,28 +322,34 @@ def shared_windows(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     if not len(r):
         return r, a
     suffix = Suffixes(text, r, a, length)
-    key = _mixed(suffix.hashed(np.arange(len(r)), length) ^ _mixed(anchor[r]))
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    stay = count[inverse] > 1
-    r, a = r[stay], a[stay]
-    if not len(r):
-        return r, a
-    suffix = Suffixes(text, r, a, length)
-    order = suffix.sort(anchor[r])
-    i, j = order[:-1], order[1:]
-    same = (anchor[r[i]] == anchor[r[j]]) & (suffix.extension(i, j) >= length)
+    key = _mixed(suffix.whole ^ _mixed(anchor[r]))
+    _, lead, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    stay = count > 1
+    lead, number = lead[stay], np.cumsum(stay) - 1
+    members = np.flatnonzero(stay[inverse])
+    cls = number[inverse[members]]
+    if not len(members):
+        return r[:0], a[:0]
     view = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
-    true = np.ones(len(i), bool)
-    true[same] = (view[r[i[same]], a[i[same]]] == view[r[j[same]], a[j[same]]]).all(1)
-    if not true.all():  # two strings of one hash: their suffixes are sorted by the bytes themselves
-        order = np.lexsort((*view[r, a].T[::-1], anchor[r]))
+    row, first = lead[cls], r[members]
+    if (view[first, a[members]] == view[r[row], a[row]]).all() and (anchor[first] == anchor[r[row]]).all():
+        # One suffix stands for the equal ones, as verified; neighbours in the sorted order tell whether two stand for the same string.
+        by_anchor = np.argsort(r[lead], kind="stable")
+        heads = Suffixes(text, r[lead][by_anchor], a[lead][by_anchor], length)
+        order = heads.sort(anchor[r[lead]][by_anchor])
         i, j = order[:-1], order[1:]
-        same = (anchor[r[i]] == anchor[r[j]]) & (view[r[i], a[i]] == view[r[j], a[j]]).all(1)
-    cls = np.concatenate([[0], np.cumsum(~same)])
-    d = doc[r[order]]
-    least = np.full(cls[-1] + 1, NO_ID, np.int64)
-    np.minimum.at(least, cls, d)
-    out = order[d > least[cls]]
+        new = (anchor[heads.r[i]] != anchor[heads.r[j]]) | (heads.extension(i, j) < length)
+        rank = np.empty(len(lead), np.int64)
+        rank[by_anchor[order]] = np.concatenate([[0], np.cumsum(new)])
+        cls = rank[cls]
+    else:  # two strings of one hash: suffixes are sorted by the bytes themselves
+        order = np.lexsort((*view[first, a[members]].T[::-1], anchor[first]))
+        members = members[order]
+        i, j = members[:-1], members[1:]
+        cls = np.concatenate([[0], np.cumsum((anchor[r[i]] != anchor[r[j]]) | (view[r[i], a[i]] != view[r[j], a[j]]).any(1))])
+    least = np.full(cls.max() + 1, NO_ID, np.int64)
+    np.minimum.at(least, cls, doc[r[members]])
+    out = members[doc[r[members]] > least[cls]]
     return r[out], a[out]
 
 
@@ -401,7 +419,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in batch.column(2).to_pylist()], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
-def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, end>>, kept binary) of every row of docs.
 
     Each byte goes that a string of `length` bytes covers which also starts in a document of a smaller id; all is judged on the input.
