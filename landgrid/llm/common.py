@@ -1,69 +1,21 @@
-"""What the corpus operators share: scratch tables, hot-group aggregation, connected components."""
+"""What the corpus operators share: slices of batches, hot-group aggregation, connected components; scratch tables come from the engine."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landgrid.scratch import cut, scratch_path
+
 #: Runs of ASCII white space and what lies between them, as the operators' contracts define words by space.
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
 
-#: Drops a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_scratch: list[tuple[object, object]] = []
-
-
-def _sweep() -> None:
-    for fs, path in _scratch:
-        try:
-            fs.delete(path, True)
-        except Exception:  # the session, or the store, may be gone by now
-            pass
-
-
-atexit.register(_sweep)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="landgrid-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/landgrid/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    _scratch.append((where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where))
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
-
-    Shuffle files of the write are dropped once it is done, as nothing reads them again.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["NON_SPACES", "SPACES", "bounded", "connected_components", "cut", "give_back", "rows_at_a_time", "salted_totals", "scratch_path"]
 
 
 def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -112,7 +64,6 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
     Alternates large-star and small-star steps: each replaces a node's links by links to its smallest neighbour, by grouped
     minima and joins only, until no link changes (a logarithmic number of rounds in practice). Self-links keep an id in the result.
     """
-    spark = edges.sparkSession
     alone = edges.where("a = b").select(F.col("a").alias("id"))
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     alone = cut(alone.distinct(), label)
