@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landgrid.functions import kernels
 from landgrid.operators.hexgrid import AREAS, MEANS, POINTS
@@ -41,7 +42,7 @@ def _joined(objects: DataFrame, predictions: DataFrame | None) -> DataFrame:
     return o.join(predictions.select("object_id", "fold_id", "y_pred_oof"), "object_id", "left").withColumn("residual", F.col("y_pred_oof") - F.col("y_true"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def footprint_geojson(wkt: pd.Series) -> pd.Series:
     return wkt.map(kernels.mercator_wkt_to_geojson, na_action="ignore")
 

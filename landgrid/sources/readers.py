@@ -46,7 +46,7 @@ def registry_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("/", "file", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("ord"), F.col("f.id").alias("id"), F.col("f.geometry").alias("geometry"), F.col("f.properties.options").alias("o"))
 
 
-@F.pandas_udf("struct<x: double, y: double, wkt: string>")
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("wkt", T.StringType())]))
 def _footprint(geometry: pd.Series) -> pd.DataFrame:
     rows = []
     for g in geometry:
