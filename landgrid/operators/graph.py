@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.functions.geo import haversine_col
 from landgrid.operators.hexgrid import segments
 from landgrid.operators.spatial import nearest_points
 from landgrid.scratch import cut
@@ -35,59 +34,99 @@ def snapped(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return nearest_points(points, nodes, key, degrees2).select(key, F.col("r_lat").alias("node_lat"), F.col("r_lon").alias("node_lon"), F.col("distance_m").alias("snap_m"))
 
 
-def target_distances(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, lat, lon, path_m) for every node that a target (target, node_lat, node_lon) reaches by undirected edges.
+class Graph:
+    """Undirected adjacency by node number; nodes are numbered in the order of their coordinates."""
+
+    def __init__(self, row) -> None:
+        ends = np.concatenate([np.stack([row.from_lat, row.from_lon], 1), np.stack([row.to_lat, row.to_lon], 1)])
+        self.nodes, number = np.unique(ends, axis=0, return_inverse=True)
+        n = len(row.length_m)
+        a, b = number[:n], number[n:]
+        source, to, length = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([row.length_m, row.length_m])
+        order = np.argsort(source, kind="stable")
+        self.first = np.searchsorted(source[order], np.arange(len(self.nodes) + 1)).tolist()
+        self.to, self.length = to[order].tolist(), length[order].tolist()
+        self.number = {tuple(c): i for i, c in enumerate(self.nodes.tolist())}
+
+    def search(self, starts: list[tuple[float, tuple[float, float]]], limit: float) -> pd.DataFrame:
+        """Least distances below limit from any of the starts (cost to begin, coordinates): lat, lon, path_m."""
+        best: dict[int, float] = {}
+        heap = [(d, self.number[c]) for d, c in starts]
+        heapq.heapify(heap)
+        while heap:
+            d, node = heapq.heappop(heap)
+            if node in best:
+                continue
+            best[node] = d
+            for i in range(self.first[node], self.first[node + 1]):
+                far = d + self.length[i]
+                if far < limit and self.to[i] not in best:
+                    heapq.heappush(heap, (far, self.to[i]))
+        at = self.nodes[list(best)] if best else np.zeros((0, 2))
+        return pd.DataFrame({"lat": at[:, 0], "lon": at[:, 1], "path_m": list(best.values())})
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """The graph as one row of arrays; of several edges between two nodes the shortest counts."""
+    flat = edges.groupBy("from_lat", "from_lon", "to_lat", "to_lon").agg(F.min("length_m").alias("length_m"))
+    one = flat.agg(F.collect_list(F.struct("from_lat", "from_lon", "to_lat", "to_lon", "length_m")).alias("e"))
+    return one.select(*[F.col(f"e.{c}").alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon", "length_m")])
+
+
+def target_distances(edges: DataFrame, targets: DataFrame, limit_m: float = float("inf")) -> DataFrame:
+    """(target, lat, lon, path_m) for every node that a target (target, node_lat, node_lon, snap_m) reaches by undirected edges within
+    limit_m; path_m includes the target's snap.
 
-    Targets are spread over the tasks, one Dijkstra each; the graph goes to every task that has one. This suits road graphs of one
-    metropolitan area, whose size is bounded by the area (10^5 to 10^6 edges), and few targets; many objects then only look up their node. Of
-    several edges between two nodes the shortest counts.
+    Targets are spread over the tasks, one search each; the graph goes to every task that has one. This suits road graphs of one
+    metropolitan area, whose size is bounded by the area (10^5 to 10^6 edges), and few targets; many objects then only look up their node.
     """
-    flat = edges.groupBy("from_lat", "from_lon", "to_lat", "to_lon").agg(F.min("length_m").alias("length_m"))
-    packed = flat.agg(F.collect_list(F.struct("from_lat", "from_lon", "to_lat", "to_lon", "length_m")).alias("edges"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = None
         for f in frames:
             for row in f.itertuples(index=False):
-                if graph is None:
-                    graph = defaultdict(list)
-                    for e in row.edges:
-                        a, b = (e["from_lat"], e["from_lon"]), (e["to_lat"], e["to_lon"])
-                        graph[a].append((b, e["length_m"]))
-                        graph[b].append((a, e["length_m"]))
-                best, heap = {}, [(0.0, (row.node_lat, row.node_lon))]
-                while heap:
-                    d, node = heapq.heappop(heap)
-                    if node in best:
-                        continue
-                    best[node] = d
-                    for to, w in graph[node]:
-                        if to not in best:
-                            heapq.heappush(heap, (d + w, to))
-                yield pd.DataFrame([(row.target, la, lo, d) for (la, lo), d in best.items()], columns=["target", "lat", "lon", "path_m"])
-
-    sent = targets.repartition("target").crossJoin(F.broadcast(packed))
+                graph = graph or Graph(row)
+                found = graph.search([(row.snap_m, (row.node_lat, row.node_lon))], limit_m)
+                found.insert(0, "target", row.target)
+                yield found
+
+    sent = targets.repartition(targets.sparkSession.sparkContext.defaultParallelism, "target").crossJoin(F.broadcast(_packed(edges)))
     return sent.mapInPandas(run, f"target {targets.schema['target'].dataType.simpleString()}, lat double, lon double, path_m double")
 
 
-def graph_distances(objects: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(object_id, target, distance_m): snap + path + snap of every pair that a path joins. targets: target, lat, lon."""
+def nearest_target(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(lat, lon, path_m): each reached node's least distance to any target, by one search that starts from all of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                yield Graph(row).search([(t["snap_m"], (t["node_lat"], t["node_lon"])) for t in row.targets], float("inf"))
+
+    ends = targets.agg(F.collect_list(F.struct("node_lat", "node_lon", "snap_m")).alias("targets"))
+    return ends.crossJoin(F.broadcast(_packed(edges))).mapInPandas(run, "lat double, lon double, path_m double")
+
+
+def graph_distances(objects: DataFrame, edges: DataFrame, targets: DataFrame, limit_m: float = float("inf")) -> DataFrame:
+    """(object_id, target, distance_m): snap + path + snap of every pair that a path joins within limit_m. targets: target, lat, lon."""
     nodes = cut(graph_nodes(edges), "nodes")
-    at = snapped(objects.select("object_id", "lat", "lon"), nodes, "object_id")
-    ends = snapped(targets.select("target", "lat", "lon"), nodes, "target")
-    reach = target_distances(edges, ends).join(ends.select(F.col("target").alias("__t"), F.col("snap_m").alias("end_m")), F.col("target") == F.col("__t"))
-    pairs = at.join(reach, (F.col("node_lat") == F.col("lat")) & (F.col("node_lon") == F.col("lon")))
-    return pairs.select("object_id", "target", (F.col("snap_m") + F.col("path_m") + F.col("end_m")).alias("distance_m"))
+    return _joined(snapped(objects.select("object_id", "lat", "lon"), nodes, "object_id"), target_distances(edges, snapped(targets.select("target", "lat", "lon"), nodes, "target"), limit_m)).select("object_id", "target", "distance_m").where(F.col("distance_m") < limit_m)
+
+
+def _joined(at: DataFrame, reach: DataFrame) -> DataFrame:
+    return at.join(reach, (F.col("node_lat") == F.col("lat")) & (F.col("node_lon") == F.col("lon"))).withColumn("distance_m", F.col("snap_m") + F.col("path_m"))
 
 
 def metro_by_graph(objects: DataFrame, edges: DataFrame, stations: DataFrame, entrances: DataFrame) -> DataFrame:
-    """objects with graph distances to the nearest station and entrance (1e9 if none is reached), and how many are nearer than 1 km and 500 m."""
+    """objects with graph distances to the nearest station and entrance (1e9 if none is reached), and how many are nearer than 1 km and 500 m.
+
+    Distances to the nearest come from one search for all targets, counts from a search for each that ends at the radius.
+    """
     out = objects.drop("dist_metro_m", "dist_entrance_m", "count_stations_1km", "count_entrances_500m")
+    nodes = cut(graph_nodes(edges), "nodes")
+    at = snapped(objects.select("object_id", "lat", "lon"), nodes, "object_id")
     for points, dist, count, near in ((stations, "dist_metro_m", "count_stations_1km", 1000.0), (entrances, "dist_entrance_m", "count_entrances_500m", 500.0)):
-        d = graph_distances(objects, edges, points).groupBy("object_id").agg(F.min("distance_m").alias(dist), F.count_if(F.col("distance_m") < near).alias(count))
-        out = out.join(d, "object_id", "left").na.fill({dist: UNREACHED_M, count: 0})
+        ends = snapped(points.select("target", "lat", "lon"), nodes, "target")
+        least = _joined(at, nearest_target(edges, ends)).groupBy("object_id").agg(F.min("distance_m").alias(dist))
+        close = _joined(at, target_distances(edges, ends, near)).groupBy("object_id").agg(F.count_if(F.col("distance_m") < near).alias(count))
+        out = out.join(least, "object_id", "left").join(close, "object_id", "left").na.fill({dist: UNREACHED_M, count: 0})
     return out
-
-
-def straight_distance(a_lat: str, a_lon: str, b_lat: str, b_lon: str):
-    return haversine_col(a_lat, a_lon, b_lat, b_lon)

@@ -233,19 +233,21 @@ def area_shares(objects: DataFrame, geometries: DataFrame, layers: list[str], ra
     g = g.withColumn("__c", _cells(F.col("x0") - big, F.col("y0") - big, F.col("x1") + big, F.col("y1") + big, size)).withColumnRenamed("layer", "__layer")
     o = apply_steps(objects.select("object_id", "lat", "lon"), utm_steps("lat", "lon")).withColumns({"__cx": F.floor(F.col("utm_x") / size), "__cy": F.floor(F.col("utm_y") / size)})
     near = o.join(g, (F.col("__cx") == F.col("__c.cx")) & (F.col("__cy") == F.col("__c.cy")) & (F.col("utm_x") > F.col("x0") - big) & (F.col("utm_x") < F.col("x1") + big) & (F.col("utm_y") > F.col("y0") - big) & (F.col("utm_y") < F.col("y1") + big))
-    flat = F.transform("edges", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"]))
-    grouped = near.groupBy("object_id", F.col("__layer").alias("layer")).agg(F.first("utm_x").alias("x"), F.first("utm_y").alias("y"), F.collect_list(flat).alias("polygons"))
+    flat = F.flatten(F.transform("edges", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+    # A fixed number of partitions: the kernel's work is out of proportion to the bytes by which Spark would merge them.
+    dealt = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "object_id", "__layer")
+    grouped = dealt.groupBy("object_id", F.col("__layer").alias("layer")).agg(F.first("utm_x").alias("x"), F.first("utm_y").alias("y"), F.collect_list(flat).alias("polygons"))
 
     @F.pandas_udf("array<double>")
     def shares(x: pd.Series, y: pd.Series, polygons: pd.Series) -> pd.Series:
         out = []
         for px, py, ps in zip(x, y, polygons, strict=True):
-            parts = [[np.array([*(list(e) for e in p)], float)] for p in ps]
+            # Rings come as edges: each is an open ring of two corners, which parities of crossings don't mind.
+            parts = [list(np.asarray(p, float).reshape(-1, 2, 2)) for p in ps]
             row = []
             for r in radii:
                 window = kernels.disc(px, py, r)
-                # Rings come as edges: each edge is its own open ring of two corners, which crossings by parity don't mind.
-                covered = kernels.union_area_within([[e.reshape(2, 2) for e in p[0]] for p in parts], window)
+                covered = kernels.union_area_within(parts, window)
                 row.append(min(1.0, covered / abs(kernels.signed_area(window))))
             out.append(row)
         return pd.Series(out)
