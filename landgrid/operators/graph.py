@@ -34,6 +34,10 @@ def snapped(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return nearest_points(points, nodes, key, degrees2).select(key, F.col("r_lat").alias("node_lat"), F.col("r_lon").alias("node_lon"), F.col("distance_m").alias("snap_m"))
 
 
+#: Edges that are packed into one row (40 bytes each) for every task that searches; larger graphs are relaxed by joins.
+MOST_EDGES = 3_000_000
+
+
 class Graph:
     """Undirected adjacency by node number; nodes are numbered in the order of their coordinates."""
 
@@ -78,8 +82,11 @@ def target_distances(edges: DataFrame, targets: DataFrame, limit_m: float = floa
     limit_m; path_m includes the target's snap.
 
     Targets are spread over the tasks, one search each; the graph goes to every task that has one. This suits road graphs of one
-    metropolitan area, whose size is bounded by the area (10^5 to 10^6 edges), and few targets; many objects then only look up their node.
+    metropolitan area (10^5 to 10^6 edges) and few targets; many objects then only look up their node. Graphs of more than MOST_EDGES, as
+    counted, are relaxed instead.
     """
+    if edges.count() > MOST_EDGES:
+        return relaxed(edges, targets.select("target", F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"), F.col("snap_m").alias("path_m")), limit_m)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = None
@@ -96,6 +103,9 @@ def target_distances(edges: DataFrame, targets: DataFrame, limit_m: float = floa
 
 def nearest_target(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(lat, lon, path_m): each reached node's least distance to any target, by one search that starts from all of them."""
+    if edges.count() > MOST_EDGES:
+        starts = targets.groupBy(F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon")).agg(F.min("snap_m").alias("path_m"))
+        return relaxed(edges, starts.withColumn("target", F.lit(0)), float("inf")).drop("target")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -106,6 +116,21 @@ def nearest_target(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return ends.crossJoin(F.broadcast(_packed(edges))).mapInPandas(run, "lat double, lon double, path_m double")
 
 
+def relaxed(edges: DataFrame, starts: DataFrame, limit_m: float) -> DataFrame:
+    """(target, lat, lon, path_m) from starts of that shape, by joining the nodes that got nearer with their edges until none does: as many
+    rounds as a shortest path has edges, each written out, for graphs that fit no single task."""
+    one = edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m")
+    both = cut(one.union(one.select("to_lat", "to_lon", "from_lat", "from_lon", "length_m")), "both")
+    keys = ["target", "lat", "lon"]
+    best = fresh = cut(starts.groupBy(*keys).agg(F.min("path_m").alias("path_m")), "best")
+    while not fresh.isEmpty():
+        step = fresh.join(both, (F.col("lat") == F.col("from_lat")) & (F.col("lon") == F.col("from_lon"))).select("target", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), (F.col("path_m") + F.col("length_m")).alias("path_m"))
+        step = step.where(F.col("path_m") < limit_m).groupBy(*keys).agg(F.min("path_m").alias("path_m"))
+        fresh = cut(step.join(best.withColumnRenamed("path_m", "__old"), keys, "left").where("__old is null or path_m < __old").drop("__old"), "fresh")
+        best = cut(best.unionByName(fresh).groupBy(*keys).agg(F.min("path_m").alias("path_m")), "best")
+    return best
+
+
 def graph_distances(objects: DataFrame, edges: DataFrame, targets: DataFrame, limit_m: float = float("inf")) -> DataFrame:
     """(object_id, target, distance_m): snap + path + snap of every pair that a path joins within limit_m. targets: target, lat, lon."""
     nodes = cut(graph_nodes(edges), "nodes")

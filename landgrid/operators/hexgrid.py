@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions.geo import apply_steps, center_steps, edge_m, haversine_col, hex_steps, with_cell
+from landgrid.functions.geo import EARTH_M, LAT_REF, apply_steps, center_steps, edge_m, haversine, haversine_col, hex_steps, with_cell
 from landgrid.functions.text import noise
 
 CELL = ["h3_index", "resolution"]
@@ -32,10 +33,6 @@ def cover_box(spark: SparkSession, resolution: int, south: float, west: float, n
 
     Grid lines are generated by range, so a coverage of any size is made where it is used.
     """
-    import math
-
-    from landgrid.functions.geo import EARTH_M, LAT_REF
-
     e, scale = edge_m(resolution), EARTH_M * math.cos(math.radians(LAT_REF))
     r0, r1 = math.floor(math.radians(south) * EARTH_M / (1.5 * e)), math.ceil(math.radians(north) * EARTH_M / (1.5 * e))
     x0, x1 = math.radians(west) * scale / (math.sqrt(3) * e), math.radians(east) * scale / (math.sqrt(3) * e)
@@ -77,27 +74,34 @@ def road_features(coverage: DataFrame, ways: DataFrame, resolution: int) -> Data
     return _one_resolution(coverage, resolution).join(cells, "h3_index", "left").na.fill(0.0, ["road_length_m"]).select(*CELL, "road_length_m")
 
 
+#: So many points go to every task as one array (16 bytes each); more are found by joins on cells.
+MOST_POINTS = 20_000
+
+
 def metro_features(coverage: DataFrame, stations: DataFrame, entrances: DataFrame) -> DataFrame:
     """Distance from each cell's centre to the nearest station and entrance, and how many are nearer than 1 km and 500 m.
 
-    Stations and entrances are the points of one city's network: their number has a fixed bound, so each side is gathered into one array
-    that is broadcast as one row; no pair is ever a row. Without points distances are null and counts 0.
+    A city's stations are few: up to MOST_POINTS, as counted, are gathered into one array that is broadcast as one row, and no pair is ever
+    a row. More are found by the nearest-point and radius joins. Without points distances are null and counts 0.
     """
+    from landgrid.operators.spatial import nearest_points, radius_pairs
+
     out = apply_steps(coverage, center_steps("h3_index", "__lat", "__lon"))
     for points, dist, count, near in ((stations, "dist_metro_m", "count_stations_1km", 1000.0), (entrances, "dist_entrance_m", "count_entrances_500m", 500.0)):
-        one = points.agg(F.collect_list(F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))).alias("__p"))
+        own = points.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+        if own.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+            centres = out.select(F.concat_ws("/", *CELL).alias("__cell"), F.col("__lat").alias("lat"), F.col("__lon").alias("lon"))
+            least = nearest_points(centres, own, "__cell").select("__cell", F.col("distance_m").alias(dist))
+            close = radius_pairs(own, centres, near).groupBy(F.col("r___cell").alias("__cell")).agg(F.count("*").alias(count))
+            out = out.withColumn("__cell", F.concat_ws("/", *CELL)).join(least, "__cell", "left").join(close, "__cell", "left").na.fill({count: 0}).drop("__cell")
+            continue
+        one = own.agg(F.collect_list(F.struct("lat", "lon")).alias("__p"))
         out = out.crossJoin(F.broadcast(one))
-        out = out.withColumn("__d", F.expr("transform(__p, p -> " + _haversine_lambda("__lat", "__lon", "p.lat", "p.lon") + ")"))
+        out = out.withColumn("__d", F.expr("transform(__p, p -> " + haversine("__lat", "__lon", "p.lat", "p.lon") + ")"))
         out = out.withColumns({dist: F.array_min("__d"), count: F.size(F.filter("__d", lambda d: d < near)).cast("bigint")}).drop("__p", "__d")  # noqa: B023
     return out.select(*coverage.columns, "dist_metro_m", "dist_entrance_m", "count_stations_1km", "count_entrances_500m")
 
 
-def _haversine_lambda(*args: str) -> str:
-    from landgrid.functions.geo import haversine
-
-    return haversine(*args)
-
-
 def gold_features(coverage: DataFrame, feature_sets: list[DataFrame]) -> DataFrame:
     """coverage and the columns of every feature set, joined by cell and resolution."""
     return reduce(lambda a, b: a.join(b, CELL, "left"), feature_sets, coverage)

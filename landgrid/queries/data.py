@@ -28,15 +28,15 @@ OBJECTS = f"""(SELECT concat('c/', CAST(c_custkey AS STRING)) AS object_id,
   CAST(c_acctbal AS DOUBLE) + CAST(c_custkey % 11 AS DOUBLE) * 10 AS y_pred_oof, CAST(c_custkey % 5 AS BIGINT) AS fold_id,
   CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE concat('raion ', CAST(c_nationkey % 8 AS STRING)) END AS intra_city_raion FROM customer)"""
 
-#: Stations and entrances: suppliers, at most a hundred of each.
-STATIONS = f"(SELECT CAST(s_suppkey AS STRING) AS target, {lat('s_suppkey')} AS lat, {lon('s_suppkey')} AS lon FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey <= 300)"
-ENTRANCES = f"(SELECT CAST(s_suppkey AS STRING) AS target, {lat('(s_suppkey + 7)')} AS lat, {lon('(s_suppkey + 7)')} AS lon FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey <= 150)"
+#: Stations and entrances: a station for each supplier, and an entrance beside it.
+STATIONS = f"(SELECT CAST(s_suppkey AS STRING) AS target, {lat('s_suppkey')} AS lat, {lon('s_suppkey')} AS lon FROM supplier)"
+ENTRANCES = f"(SELECT CAST(s_suppkey AS STRING) AS target, {lat('(s_suppkey + 7)')} AS lat, {lon('(s_suppkey + 7)')} AS lon FROM supplier)"
 
 #: Points of layers: parts, by their type.
 POINTS = f"(SELECT lower(p_type) AS layer, {lat('(p_partkey + 11)')} AS lat, {lon('(p_partkey + 11)')} AS lon FROM part)"
 
 #: Ways: the lines of an order, in order, a part for each node.
-NODES = f"(SELECT l_orderkey AS way, l_linenumber AS n, {lat('l_partkey')} AS lat, {lon('l_partkey')} AS lon FROM lineitem WHERE l_orderkey % 10 = 0)"
+NODES = f"(SELECT l_orderkey AS way, l_linenumber AS n, {lat('l_partkey')} AS lat, {lon('l_partkey')} AS lon FROM lineitem)"
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

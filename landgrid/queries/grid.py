@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions.geo import center_steps, haversine, hex_steps, steps_sql, utm_steps, with_cell
+from landgrid.functions.geo import EARTH_M, LAT_REF, apply_steps, center_steps, edge_m, haversine, hex_steps, steps_sql, utm_steps, with_cell
 from landgrid.operators import hexgrid, objects
 from landgrid.plans import serving
 from landgrid.queries import REGISTRY
@@ -43,8 +45,6 @@ _CENTERS = f"SELECT h3_index, 8 AS resolution, {R.format('c_lat')} AS lat, {R.fo
 
 @REGISTRY.add("cell_centers", _CENTERS)
 def cell_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from landgrid.functions.geo import apply_steps
-
     cells = with_cell(sql(spark, sf_dir, OBJECTS), 8).select("h3_index", F.lit(8).alias("resolution")).distinct()
     return rounded(apply_steps(cells, center_steps("h3_index")))
 
@@ -56,10 +56,6 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cover_sql() -> str:
     inner = steps_sql("(SELECT concat('8:', CAST(q AS STRING), ':', CAST(r AS STRING)) AS h3_index, 8 AS resolution FROM range({q0}, {q1}) a(q), range({r0}, {r1}) b(r))", center_steps("h3_index"))
-    import math
-
-    from landgrid.functions.geo import EARTH_M, LAT_REF, edge_m
-
     e, k = edge_m(8), EARTH_M * math.cos(math.radians(LAT_REF))
     r0, r1 = int(math.radians(55.735) * EARTH_M / (1.5 * e)) - 2, int(math.radians(55.835) * EARTH_M / (1.5 * e)) + 3
     q0, q1 = int(math.radians(49.03) * k / (math.sqrt(3) * e) - r1 / 2) - 3, int(math.radians(49.21) * k / (math.sqrt(3) * e) - r0 / 2) + 4
@@ -155,7 +151,5 @@ _UTM = utm_steps("lat", "lon")
 
 @REGISTRY.add("project_points", f"SELECT object_id, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y, round(degrees(radians(lon)), 9) AS lon FROM {steps_sql(f'{OBJECTS} o', _UTM)} u")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from landgrid.functions.geo import apply_steps
-
     u = apply_steps(sql(spark, sf_dir, OBJECTS), _UTM)
     return u.select("object_id", F.round("utm_x", 3).alias("utm_x"), F.round("utm_y", 3).alias("utm_y"), F.round(F.degrees(F.radians("lon")), 9).alias("lon"))

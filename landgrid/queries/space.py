@@ -70,7 +70,7 @@ def filter_inside_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HALF = "0.002"
-_SQUARES = f"(SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'water' ELSE 'park' END AS layer, concat('POLYGON ((', CAST(x - {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), ', ', CAST(x + {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), ', ', CAST(x + {_HALF} AS STRING), ' ', CAST(y + {_HALF} AS STRING), ', ', CAST(x - {_HALF} AS STRING), ' ', CAST(y + {_HALF} AS STRING), ', ', CAST(x - {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), '))') AS wkt FROM (SELECT s_suppkey, lat AS y, lon AS x FROM (SELECT s_suppkey, CAST(target AS BIGINT) AS k, lat, lon FROM {STATIONS} s JOIN supplier p ON CAST(p.s_suppkey AS STRING) = s.target) t) u)"
+_SQUARES = f"(SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'water' ELSE 'park' END AS layer, concat('POLYGON ((', CAST(x - {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), ', ', CAST(x + {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), ', ', CAST(x + {_HALF} AS STRING), ' ', CAST(y + {_HALF} AS STRING), ', ', CAST(x - {_HALF} AS STRING), ' ', CAST(y + {_HALF} AS STRING), ', ', CAST(x - {_HALF} AS STRING), ' ', CAST(y - {_HALF} AS STRING), '))') AS wkt FROM (SELECT CAST(target AS BIGINT) AS s_suppkey, lat AS y, lon AS x FROM {STATIONS} s) u)"
 
 
 @REGISTRY.add("area_shares")

@@ -14,7 +14,7 @@ from landgrid.ml import metrics, models
 from landgrid.operators import listings, objects, registry
 from landgrid.plans import serving
 from landgrid.queries import REGISTRY
-from landgrid.queries.data import OBJECTS, sql
+from landgrid.queries.data import OBJECTS, sql, ways
 from landgrid.queries.grid import rounded
 from landgrid.scratch import scratch_path
 from landgrid.sources import readers, sinks
@@ -81,7 +81,7 @@ def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The address registry: regions are okrugs (level 3), nations settlements (level 5), customers houses.
 _ADDR = "(SELECT CAST(1000 + r_regionkey AS BIGINT) AS objectid, r_name AS name, 'okrug' AS typename, '3' AS level, CASE WHEN r_regionkey = 4 THEN '0' ELSE '1' END AS active FROM region UNION ALL SELECT CAST(2000 + n_nationkey AS BIGINT), n_name, 'town', CASE WHEN n_nationkey = 7 THEN 'x' ELSE '5' END, '1' FROM nation)"
 _HIER = "(SELECT CAST(1000 + r_regionkey AS BIGINT) AS objectid, CAST(0 AS BIGINT) AS parentobjid, concat('92', CAST(r_regionkey AS STRING)) AS oktmo, CAST(1000 + r_regionkey AS STRING) AS path FROM region UNION ALL SELECT CAST(2000 + n_nationkey AS BIGINT), CAST(1000 + n_regionkey AS BIGINT), concat('93', CAST(n_nationkey AS STRING)), concat(CAST(1000 + n_regionkey AS STRING), '.', CAST(2000 + n_nationkey AS STRING)) FROM nation UNION ALL SELECT CAST(100000 + c_custkey AS BIGINT), CAST(2000 + c_nationkey AS BIGINT), '', concat(CAST(1000 + n_regionkey AS STRING), '.', CAST(2000 + c_nationkey AS STRING), '.', CAST(100000 + c_custkey AS STRING)) FROM customer JOIN nation ON c_nationkey = n_nationkey)"
-_PARAMS = "(SELECT CAST(100000 + c_custkey AS BIGINT) AS objectid, t AS typeid, concat(CAST(t AS STRING), '-', CAST(c_custkey % 700 AS STRING)) AS value, CASE WHEN c_custkey % 13 = 0 THEN '2020-01-01' ELSE '2079-06-06' END AS enddate, c_custkey % 2 AS stead FROM customer CROSS JOIN (SELECT 5 AS t UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) ts WHERE (c_custkey + t) % 4 <> 0)"
+_PARAMS = "(SELECT CAST(100000 + c_custkey AS BIGINT) AS objectid, t AS typeid, concat(CAST(t AS STRING), '-', CAST(c_custkey % 700 AS STRING)) AS value, CASE WHEN c_custkey % 13 = 0 THEN '2020-01-01' ELSE '2079-06-06' END AS enddate, c_custkey % 2 AS stead FROM customer CROSS JOIN (SELECT 5 AS t UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) ts)"
 _LIVE = f"(SELECT objectid, typeid, value, stead FROM {_PARAMS} p WHERE enddate = '2079-06-06' AND typeid IN (5, 6, 7, 8))"
 
 
@@ -172,7 +172,7 @@ def map_valuation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.from_map_data(b).select("object_id", "asset_class", "levels")
 
 
-_POI = f"(SELECT object_id, lat, lon, levels FROM {OBJECTS} o WHERE levels <= 12)"
+_POI = f"(SELECT object_id, lat, lon, levels FROM {OBJECTS} o)"
 
 
 @REGISTRY.add("geojson_layer_points", f"SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, 'school' AS layer FROM {_POI} p WHERE levels % 4 <> 3")
@@ -191,15 +191,16 @@ def geojson_layer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "layer")
 
 
-@REGISTRY.add("overpass_ways", "SELECT l_orderkey AS id, count(*)::BIGINT AS nodes FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey HAVING l_orderkey % 3 <> 0")
+@REGISTRY.add("overpass_ways", "SELECT l_orderkey AS id, count(*)::BIGINT AS nodes FROM lineitem GROUP BY l_orderkey")
 def overpass_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from landgrid.queries.data import ways
-
+    """Files of elements: each way, a relation of the same geometry, and a way without any."""
     path = scratch_path(spark, "elements")
-    e = ways(spark, sf_dir).select(F.to_json(F.struct(F.array(F.struct(F.when(F.col("way") % 3 == 0, "relation").otherwise("way").alias("type"), F.col("way").alias("id"), "geometry")).alias("elements"))).alias("value"))
-    e.coalesce(4).write.text(path)
-    rows = spark.read.schema("elements ARRAY<STRUCT<type: STRING, id: BIGINT, geometry: ARRAY<STRUCT<lat: DOUBLE, lon: DOUBLE>>>>").json(path).select(F.explode("elements").alias("e"))
-    return rows.where("e.type = 'way'").select("e.id", F.size("e.geometry").cast("bigint").alias("nodes"))
+    w = ways(spark, sf_dir)
+    of = lambda kind, geometry: F.struct(F.lit(kind).alias("type"), F.col("way").alias("id"), geometry.alias("geometry"))
+    none = F.lit(None).cast(w.schema["geometry"].dataType)
+    packs = w.withColumn("pack", F.pmod(F.xxhash64("way"), F.lit(8))).groupBy("pack").agg(F.flatten(F.collect_list(F.array(of("way", F.col("geometry")), of("relation", F.col("geometry")), of("way", none)))).alias("elements"))
+    packs.select(F.to_json(F.struct("elements")).alias("value"), "pack").write.partitionBy("pack").text(path)
+    return readers.road_ways(spark, path).select("id", F.size("geometry").cast("bigint").alias("nodes"))
 
 
 _WIDE_TABLE = "SELECT o_orderpriority AS p, o_orderstatus AS s, year(o_orderdate) AS y, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2, 3"

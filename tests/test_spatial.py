@@ -101,3 +101,26 @@ def test_graph_detour_and_unreached(spark):
     r = {x.object_id: x for x in graph.metro_by_graph(o, graph.road_edges(ways), stations, stations).collect()}
     assert r["a"].dist_metro_m == pytest.approx(800, rel=0.01) and r["a"].count_stations_1km == 1 and r["a"].count_entrances_500m == 0
     assert r["lost"].dist_metro_m == 1e9 and r["lost"].count_stations_1km == 0
+
+
+def test_large_graphs_are_relaxed_to_the_same_distances(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    at_ = [at(float(x), float(y)) for x, y in rng.uniform(0, 3000, (40, 2))]
+    ways = spark.createDataFrame([([{"lat": at_[i][0], "lon": at_[i][1]} for i in rng.integers(0, 40, 3)],) for _ in range(30)], "geometry array<struct<lat: double, lon: double>>")
+    o = points(spark, [(str(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3000, (25, 2)))])
+    stations = spark.createDataFrame([(str(i), *at_[i]) for i in range(5)], "target string, lat double, lon double")
+    rows = lambda: [(r.object_id, round(r.dist_metro_m, 6), r.count_stations_1km) for r in graph.metro_by_graph(o, graph.road_edges(ways), stations, stations).orderBy("object_id").collect()]
+    packed = rows()
+    monkeypatch.setattr(graph, "MOST_EDGES", 0)
+    assert rows() == packed
+
+
+def test_many_stations_are_joined_to_the_same_features(spark, monkeypatch):
+    from landgrid.operators import hexgrid
+
+    cover = hexgrid.cover_box(spark, 8, 55.75, 49.05, 55.8, 49.15)
+    s = spark.createDataFrame([(str(i), *at(i * 300.0, i * -150.0)) for i in range(8)], "target string, lat double, lon double")
+    rows = lambda: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in hexgrid.metro_features(cover, s, s).collect())
+    few = rows()
+    monkeypatch.setattr(hexgrid, "MOST_POINTS", 1)
+    assert rows() == few and len(few) > 20
