@@ -15,6 +15,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = 2**63 - 1  # stands for null: no id is larger
 FLUSH = 1 << 20
+#: Small inputs are dealt to as many buckets, too, so that each document's places are as scattered as on large ones and rows grow with the text.
+LEAST_BUCKETS = 128
 _powers: list[np.ndarray] = []
 
 
@@ -438,7 +440,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     at = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     total = at.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(16, -(-total // bucket_bytes)))
+    buckets = int(max(LEAST_BUCKETS, -(-total // bucket_bytes)))
     sums = at.where(F.octet_length("text") >= length).select("doc", "row", F.unhex(F.sha2("text", 256)).alias("sha"))
     least = salted_totals(sums, ["sha"], F.struct("doc", "row"), {"first": F.min("doc")}, {"first": F.min("first")})
     copies = cut(least.where("doc > first").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct(), "copies")
