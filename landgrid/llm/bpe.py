@@ -13,8 +13,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landgrid.llm.common import cut, rows_at_a_time, small_batches
+
 #: Distinct pre-tokens whose ids a worker remembers before it starts over.
-CACHE = 400_000
+CACHE = 150_000
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 
@@ -73,32 +75,23 @@ def _ids(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
 
 
-def _groups(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most` characters, so that a batch of long texts doesn't swell a worker."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
-            size += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
+def _both(coder: Coder, ids: pa.Array, encoded: list[np.ndarray], decoded: bool) -> dict[str, pa.Array]:
+    out = {"id": ids, "ids": _ids(encoded)}
+    return out | {"decoded": pa.array([coder.decode(e.tolist()) for e in encoded], pa.binary())} if decoded else out
 
 
-def _encode_short(path: str, pattern: str):
+def _encode_short(path: str, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _groups(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _ids([coder.encode(t) for t in texts[a:b]])], ["id", "ids"])
+        for batch in rows_at_a_time(batches):
+            yield pa.RecordBatch.from_pydict(_both(coder, batch.column(0), [coder.encode(t) for t in batch.column(1).to_pylist()], decoded))
 
     return run
 
 
 def _chunks(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 starts = list(range(0, len(text), chunk))
                 for i in range(0, len(starts), 64):
@@ -113,7 +106,7 @@ def _encode_chunks(path: str, pattern: str, chunk: int, overlap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 32):
             out: dict[str, list[np.ndarray]] = {k: [] for k in ("ids", "head", "head_ids", "tail", "tail_ids")}
             for text in batch.column(4).to_pylist():
                 ids, starts, before = coder.spans(text)
@@ -139,43 +132,47 @@ def stitch(coder: Coder, chunks: list[dict], chunk: int) -> np.ndarray:
     return np.concatenate([*parts, chunks[-1]["ids"][begin:]])
 
 
-def _stitch_group(path: str, pattern: str, chunk: int):
+def _stitch_group(path: str, pattern: str, chunk: int, decoded: bool):
     names = ("ids", "head", "head_ids", "tail", "tail_ids")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         columns = {n: [np.asarray(v.values) for v in group.column(n)] for n in names}
         rows = [{n: columns[n][i] for n in names} | {"text": group.column("text")[i].as_py()} for i in range(len(group))]
-        return pa.table({"id": group.column("id").slice(0, 1), "ids": _ids([stitch(Coder.get(path, pattern), rows, chunk)])})
+        coder = Coder.get(path, pattern)
+        return pa.table(_both(coder, group.column("id").combine_chunks().slice(0, 1), [stitch(coder, rows, chunk)], decoded))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
-    """(id, ids array<int>) of every row: each match of pattern in the whole text is encoded by the ranks in path.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768, overlap: int = 1_024, decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every row, and, if asked for, decoded: the raw bytes of the ids, concatenated. Each match of pattern in the whole text is encoded by the ranks in path.
 
     Texts of up to `chunk` characters are encoded where they are read. Longer ones are cut into chunks that overlap, spread over the
-    cluster, pre-tokenised and encoded there, and stitched where the boundaries of neighbours meet again. Null counts as empty
-    and gives no ids. Ids may be null or repeated: every row gives one row.
+    cluster, pre-tokenised and encoded there, and stitched where the boundaries of neighbours meet again; their ids are written
+    out first, so that no shuffle is left behind in what follows. Null counts as empty and gives no ids. Ids may be null or repeated: every row gives one row.
     """
+    small_batches(docs.sparkSession)
     at = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = at.schema["id"].dataType.simpleString()
-    result = f"id {kind}, ids array<int>"
-    short = at.where(F.length("text") <= chunk).mapInArrow(_encode_short(path, pattern), result)
+    result = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
+    short = at.where(F.length("text") <= chunk).mapInArrow(_encode_short(path, pattern, decoded), result)
     long = at.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "id", "text")
     cuts = long.mapInArrow(_chunks(chunk, overlap), f"row bigint, id {kind}, chunk int, last boolean, text string").repartition("row", "chunk")
     done = cuts.mapInArrow(_encode_chunks(path, pattern, chunk, overlap), f"row bigint, id {kind}, chunk int, last boolean, text string, ids array<int>, head array<int>, head_ids array<int>, tail array<int>, tail_ids array<int>")
-    return short.unionByName(done.groupBy("row").applyInArrow(_stitch_group(path, pattern, chunk), result)).withColumnRenamed("id", id_col)
+    stitched = cut(done.groupBy("row").applyInArrow(_stitch_group(path, pattern, chunk, decoded), result), "long")
+    return short.unionByName(stitched).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """tokens and the raw bytes of its ids, concatenated; null ids give empty bytes."""
+    small_batches(tokens.sparkSession)
     at = tokens.columns.index(ids_col)
     schema = tokens.drop(out_col).schema.add(out_col, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             ids = batch.column(at)
             raw = [coder.decode(np.asarray(x.values).tolist()) if x.is_valid else b"" for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out_col])

@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.scratch import cut, scratch_path
@@ -15,7 +15,9 @@ from landgrid.scratch import cut, scratch_path
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["NON_SPACES", "SPACES", "bounded", "connected_components", "cut", "give_back", "rows_at_a_time", "salted_totals", "scratch_path"]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+__all__ = ["NON_SPACES", "SPACES", "bounded", "connected_components", "cut", "give_back", "rows_at_a_time", "salted_totals", "scratch_path", "small_batches"]
 
 
 def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -27,6 +29,13 @@ def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterat
     give_back()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_024) -> None:
+    """Send at most so many rows at once to Python workers in this session: whole texts have no bound, and Spark's default counts rows."""
+    now = int(spark.conf.get(BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH, rows)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are reused, and would otherwise hold the most they ever needed."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from landgrid.llm.common import rows_at_a_time
+from landgrid.llm.common import rows_at_a_time, small_batches
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -439,6 +439,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
     and nothing is cut off. A column of the same name as out_col is replaced; others are carried along.
     """
     model = model or fitted()
+    small_batches(pages.sparkSession)
     at = pages.drop(out_col) if out_col != html_col else pages
     names = at.columns
     schema = T.StructType([*at.schema.fields, T.StructField("__made", T.StringType())])

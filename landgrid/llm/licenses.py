@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import rows_at_a_time
+from landgrid.llm.common import rows_at_a_time, small_batches
 
 #: Words of a text whose ASCII letters are in lower case: ASCII digits and letters, and all bytes of other characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -157,6 +157,7 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex | None = None, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     at = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     index = index or LicenseIndex()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import bounded, connected_components, cut, give_back, rows_at_a_time, salted_totals
+from landgrid.llm.common import bounded, connected_components, cut, give_back, rows_at_a_time, salted_totals, small_batches
 
 WORD = re.compile(r"\w+")
 SEED = 20_240_607
@@ -204,6 +204,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     With 32 bands of 6 values a pair at the threshold is missed with a chance of 6e-5, one above with less.
     """
     step = 16
+    small_batches(docs.sparkSession)
     limits = posterior_limits(threshold, tolerance, bands * rows // step * step, step)
     ids = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
     signed = cut(ids.mapInArrow(_sign(n, bands, rows), "id bigint, cls binary, bands array<bigint>"), "signed")

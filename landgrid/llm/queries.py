@@ -37,9 +37,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, BPE_PATTERN)
-    back = bpe.decode(ids, BPE_RANKS, BPE_PATTERN)
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, BPE_PATTERN, decoded=True)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @REGISTRY.add("op8_quality")
@@ -88,7 +87,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, BPE_PATTERN)
     written = cut(token_files.write_token_files(ids, folder, END_OF_DOCUMENT), "written")
     counts = token_files.token_counts(spark, folder, END_OF_DOCUMENT)
-    return written.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Stored, both sides look small enough to broadcast; they grow with the documents.
+    return written.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 @REGISTRY.add("op3_html_text")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import bounded, cut, give_back, rows_at_a_time, salted_totals
+from landgrid.llm.common import bounded, cut, give_back, rows_at_a_time, salted_totals, small_batches
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -437,6 +437,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     Buckets grow in number with the text, not in size; what many documents share is collapsed before it is sent.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     at = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     total = at.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -12,6 +12,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landgrid.llm.common import rows_at_a_time, small_batches
+
 #: Schemes whose files workers read by range themselves; files of others come through Spark's own reader.
 RANGED = ("file", "hdfs", "s3", "gs", "gcs")
 
@@ -31,6 +33,7 @@ def write_token_files(tokens: DataFrame, folder: str, separator: int, dtype: str
     """
     kind = tokens.schema[id_col].dataType.simpleString()
     spark = tokens.sparkSession
+    small_batches(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
 
@@ -41,7 +44,7 @@ def write_token_files(tokens: DataFrame, folder: str, separator: int, dtype: str
         ordinal, out = 0, None
         names: list[pa.RecordBatch] = []
         try:
-            for batch in batches:
+            for batch in rows_at_a_time(batches):
                 out = out or where.open_output_stream(f"{name}/{file}")
                 for ids in batch.column(1):
                     a = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
