@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and the digest and size of the text that the ids decode to."""
-    back = bpe.decode(bpe.encode(docs, BPE_RANKS, BPE_PATTERN), BPE_RANKS, BPE_PATTERN)
-    return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(docs, BPE_RANKS, BPE_PATTERN, decoded=True)
+    return both.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
