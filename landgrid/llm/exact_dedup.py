@@ -51,8 +51,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.withColumns({"__block": F.pmod(h, F.lit(blocks)).cast("bigint"), "__b0": F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(BLOCK_BITS)).cast("int"), "__b1": F.pmod(F.xxhash64(sha, F.lit(2)), F.lit(BLOCK_BITS)).cast("int")})
 
     bloom = cut(repeated_filter(hashed(keyed).select(F.col("__block").alias("block"), F.col("__b0").alias("b0"), F.col("__b1").alias("b1")), blocks), "bloom")
-    tested = hashed(keyed).join(bounded(bloom, blocks, BLOCK_BYTES, broadcast_limit), F.col("__block") == bloom["block"], "left")
-    tested = tested.withColumn("__maybe", F.coalesce(_bit(F.col("bits"), F.col("__b0")) & _bit(F.col("bits"), F.col("__b1")), F.lit(False))).drop("bits", "block", "__block", "__b0", "__b1")
+    bloom = bloom.select(F.col("block").alias("__of"), F.col("bits").alias("__bits"))
+    tested = hashed(keyed).join(bounded(bloom, blocks, BLOCK_BYTES, broadcast_limit), F.col("__block") == F.col("__of"), "left")
+    tested = tested.withColumn("__maybe", F.coalesce(_bit(F.col("__bits"), F.col("__b0")) & _bit(F.col("__bits"), F.col("__b1")), F.lit(False))).drop("__bits", "__of", "__block", "__b0", "__b1")
 
     maybe = cut(tested.where("__maybe").drop("__maybe").withColumn(rid, F.monotonically_increasing_id()), "maybe")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("row")))

@@ -190,10 +190,10 @@ def _cell(threshold: float, limits: list[int], step: int):
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, tolerance: float = 1e-4, block: int = 256, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = 64 << 20) -> DataFrame:
-    """(id, class_id, copies, n_links, component_id, kept), one row for each row of docs.
+    """(id, class_id, set_id, copies, n_links, kept), one row for each row of docs.
 
-    Texts are sets of runs of n words (of lower-case \\w+). Texts with equal sets are a class, class_id its smallest id and copies its size.
-    n_links counts the other rows whose set has a Jaccard similarity of at least the threshold, copies included; component_id is
+    Texts are sets of runs of n words (of lower-case \\w+). set_id is the smallest id of the texts with an equal set, copies their number.
+    n_links counts the other rows whose set has a Jaccard similarity of at least the threshold, copies included; class_id is
     the smallest id that can be reached by such links, and kept marks the row with that id. A text without words has an empty set
     and links with nothing. Ids must be distinct: rows that share an id are linked as one. A null id is given the smallest negative.
 
@@ -232,6 +232,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     row = row.select("id", "rep", "copies").unionByName(signed.where("cls is null").select("id", F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("copies")))
     row = row.join(bounded(per_class.withColumnRenamed("rep", "of"), per_class.count(), 48, broadcast_limit), F.col("rep") == F.col("of"), "left")
     links_all = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("bigint")
-    row = row.select("id", F.col("rep").alias("class_id"), "copies", links_all.alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    row = row.select("id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("set_id"), "copies", links_all.alias("n_links"))
     real = lambda c: F.when(F.col(c) == F.lit(-(2**63)), F.lit(None)).otherwise(F.col(c))
-    return row.select(real("id").alias(id_col), real("class_id").alias("class_id"), "copies", "n_links", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return row.select(real("id").alias(id_col), real("class_id").alias("class_id"), real("set_id").alias("set_id"), "copies", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))

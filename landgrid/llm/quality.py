@@ -24,7 +24,7 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def features(df: DataFrame, text_col: str) -> DataFrame:
-    """df and one double column x_<name> for each statistic that rules may test."""
+    """df and one double column __x_<name> for each statistic that rules may test."""
     raw = statistics(F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({f"__q_{k}": v for k, v in raw.items()})
     q = {k: F.col(f"__q_{k}") for k in raw}
@@ -32,14 +32,14 @@ def features(df: DataFrame, text_col: str) -> DataFrame:
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     same = F.size(F.filter(F.zip_with(q["words"], F.slice(q["words"], F.lit(2), F.greatest(F.size(q["words"]), F.lit(1))), lambda a, b: a == b), lambda x: x)).cast("double")
     made = {
-        "x_length": F.log1p(q["chars"]), "x_word_length": per(q["letters"], n), "x_upper": per(q["upper"], q["letters"]), "x_marks": per(q["marks"], q["chars"]), "x_marks_word": per(q["marks"], n),
-        "x_digits": per(q["digits"], q["chars"]), "x_distinct": per(F.size(F.array_distinct(q["words"])).cast("double"), n), "x_same": per(same, n),
-        "x_lines": per(F.size(F.array_distinct(q["lines"])).cast("double"), F.size(q["lines"]).cast("double")), "x_line_words": per(n, F.size(q["lines"]).cast("double")), "x_ends": per(q["ends"], n),
+        "__x_length": F.log1p(q["chars"]), "__x_word_length": per(q["letters"], n), "__x_upper": per(q["upper"], q["letters"]), "__x_marks": per(q["marks"], q["chars"]), "__x_marks_word": per(q["marks"], n),
+        "__x_digits": per(q["digits"], q["chars"]), "__x_distinct": per(F.size(F.array_distinct(q["words"])).cast("double"), n), "__x_same": per(same, n),
+        "__x_lines": per(F.size(F.array_distinct(q["lines"])).cast("double"), F.size(q["lines"]).cast("double")), "__x_line_words": per(n, F.size(q["lines"]).cast("double")), "__x_ends": per(q["ends"], n),
     }
     return df.withColumns(made).drop(*[f"__q_{k}" for k in raw])
 
 
-NAMES = ["x_length", "x_word_length", "x_upper", "x_marks", "x_marks_word", "x_digits", "x_distinct", "x_same", "x_lines", "x_line_words", "x_ends"]
+NAMES = ["__x_length", "__x_word_length", "__x_upper", "__x_marks", "__x_marks_word", "__x_digits", "__x_distinct", "__x_same", "__x_lines", "__x_line_words", "__x_ends"]
 
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, whether above, threshold), all of which must hold
 
@@ -77,28 +77,29 @@ def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> set[Ru
 
 
 def holds(rules: list[Rule], x: np.ndarray) -> np.ndarray:
-    out = np.ones((len(x), len(rules)))
+    """Whether each rule (a row) holds for each row of x (a column)."""
+    out = np.ones((len(rules), len(x)), bool)
     for j, rule in enumerate(rules):
         for f, above, cut_at in rule:
-            out[:, j] *= (x[:, f] > cut_at) == above
+            out[j] &= (x[:, f] > cut_at) == above
     return out
 
 
 def lasso_logistic(r: np.ndarray, y: np.ndarray, most: int, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated proximal gradient; the penalty doubles until at most `most` weights are left."""
+    """Weights and intercept by accelerated proximal gradient over r, which is overwritten; the penalty doubles until at most `most` weights are left."""
     mean, n = r.mean(0), len(y)
-    c = r - mean
-    rate = 4 / max(1e-9, np.linalg.norm(c.T @ c / n, 2) + 1)
+    c = np.subtract(r, mean, out=r)
+    rate = float(4 / (np.linalg.norm(c.T @ c / n, 2) + 1))
     penalty = 5e-4
     while True:
-        w = v = np.zeros(r.shape[1])
+        w = v = np.zeros(r.shape[1], np.float32)
         b = u = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         t = 1.0
         for _ in range(steps):
             err = 1 / (1 + np.exp(-np.clip(c @ v + u, -30, 30))) - y
-            step = v - rate * (c.T @ err) / n
-            new, base = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0), u - rate * err.mean()
-            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            step = v - rate / n * (err @ c)
+            new, base = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0), u - rate * float(err.mean())
+            t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
             v, u = new + (t - 1) / t2 * (new - w), base + (t - 1) / t2 * (base - b)
             w, b, t = new, base, t2
         if (w != 0).sum() <= most:
@@ -121,9 +122,10 @@ class RuleEnsemble:
         rng = np.random.default_rng(seed)
         rules = sorted(set().union(*(tree_rules(x, y, rng) for _ in range(TREES))))
         r = holds(rules, x)
-        _, first = np.unique(r, axis=1, return_index=True)
-        rules, r = [rules[i] for i in sorted(first)], r[:, sorted(first)]
-        w, b = lasso_logistic(r, y.astype(float), MAX_RULES)
+        _, first = np.unique(np.packbits(r, axis=1), axis=0, return_index=True)
+        first = np.sort(first)
+        rules, r = [rules[i] for i in first], r[first].T.astype(np.float32)
+        w, b = lasso_logistic(r, y.astype(np.float32), MAX_RULES)
         return cls([a for a, z in zip(rules, w, strict=True) if z], [float(z) for z in w if z], b)
 
     def column(self) -> Column:

@@ -76,7 +76,7 @@ def test_jaccard_join_equals_brute_force(spark):
     hot = [f"h{i}" for i in range(90)]
     rows += [(1000 + k, t) for k, t in enumerate(near_copies(rng, hot, 80, 0.012) + [" ".join(hot)] * 60)]
     df = docs(spark, rows).selectExpr("doc_id", "text", "1 as copies", "text as component")
-    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.jaccard_join(df, block=16).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.jaccard_join(df, block=16).collect()}
     want = brute_jaccard(rows)
     assert got == want and sum(v[0] for v in want.values()) > 5000
     assert ngram_join.jaccard_join(df.limit(0)).count() == 0
