@@ -72,7 +72,8 @@ def train_quartet(objects: DataFrame, folds: int = 5, parent_resolution: int = 7
     Black, white and naive are cross-validated on the target; grey on the black model's out-of-fold predictions, whose folds it shares.
     """
     numeric, categorical = feature_columns(objects)
-    numeric = [c for c in numeric if c != target]
+    counts = objects.select(*[F.count(c).alias(c) for c in numeric]).first() if numeric else {}
+    numeric = [c for c in numeric if c != target and counts[c]]  # a column without any value tells nothing, and has no median
     own = prepared(objects.where(F.col(target).isNotNull()), [*numeric, *[c for c in ("lat", "lon") if c not in numeric]], categorical).withColumn("y_true", F.col(target).cast("double"))
     data = cut(with_folds(own, folds, parent_resolution, seed), "training")
     kinds = {"black": black(numeric, categorical, "y_true", iterations, seed=seed), "white": white(numeric, categorical, "y_true"), "naive": naive(data.columns, "y_true")}
@@ -136,7 +137,10 @@ def train_listings(listings: DataFrame, folds: int = 5, holdout: float = 0.2, se
     """
     numeric, categorical = [c for c in ("total_area_m2", "rooms", "floor", "floors_count", "floor_share", "build_year", "lat", "lon") if c in listings.columns], [c for c in ("source", "city", "material_type") if c in listings.columns]
     h = F.pmod(F.xxhash64("source", "listing_id", F.lit(seed)), F.lit(1_000))
-    d = cut(prepared(listings, numeric, categorical).withColumns({"y_true": F.col("price_per_sqm_rub"), "y": F.ln("price_per_sqm_rub"), "fold_id": F.pmod(h, F.lit(folds)), "held": h < int(1_000 * holdout)}), "listings")
+    # Some sources lack a column altogether, so that without the others there is no median: missing numbers are 0, and marked.
+    marked = prepared(listings, numeric, categorical).withColumns({f"{c}_known": F.col(c).isNotNull().cast("double") for c in numeric}).na.fill(0.0, numeric)
+    numeric = [*numeric, *[f"{c}_known" for c in numeric]]
+    d = cut(marked.withColumns({"y_true": F.col("price_per_sqm_rub"), "y": F.ln("price_per_sqm_rub"), "fold_id": F.pmod(h, F.lit(folds)), "held": h < int(1_000 * holdout)}), "listings")
     p = Pipeline(stages=[*matrix_stages(numeric, categorical, one_hot=True), GeneralizedLinearRegression(featuresCol="features", labelCol="y", predictionCol="y_pred", family="gaussian", regParam=0.1)])
     parts = [cross_validated(d, p, folds, ["y_true"]).select(F.lit("folds").alias("kind"), "y_true", "y_pred"), p.fit(d.where("not held")).transform(d.where("held")).select(F.lit("holdout").alias("kind"), "y_true", "y_pred")]
     names = sorted(r[0] for r in d.select("source").distinct().collect())  # a handful

@@ -4,4 +4,4 @@ from landgrid.registry import Registry
 
 REGISTRY = Registry()
 
-from landgrid.queries import grid, space, tables  # noqa: E402, F401
+from landgrid.queries import basics, grid, space, tables  # noqa: E402, F401

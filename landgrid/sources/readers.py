@@ -28,6 +28,16 @@ def partitioned(spark: SparkSession, base: str, **keys: str) -> DataFrame:
     return df
 
 
+def list_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under a path of any store that Spark reads, without their content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One small object whole; what is large is for the readers below."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def csv_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """CSV with a header and a fixed schema: ambiguous columns are read as text and cast tolerantly later."""
     return spark.read.csv(path, header=True, schema=ddl)

@@ -175,3 +175,33 @@ def test_feature_build_end_to_end(spark):
     r = {x.object_id: x for x in out.collect()}
     assert len(r) == 9 and r["0"].school_within_100m == 1 and r["0"].polygon_area_m2 == 100 and r["0"].era_category == "late_soviet"
     assert r["0"].dist_metro_m == 0 and "levels__rel_p8_z_iqr" in out.columns and r["0"].count_p7 >= 1
+
+
+def test_reports_and_stores(spark):
+    path = scratch_path(spark, "report")
+    text = sinks.write_report(spark.createDataFrame([("a", 1), (None, 2)], "x string, n int"), path)
+    assert text.splitlines()[0] == "| x | n |" and "|  | 2 |" in text
+    sinks.write_text(spark, f"{path}-raw/a.txt", "é")
+    assert readers.read_bytes(spark, f"{path}-raw/a.txt") == "é".encode()
+    assert readers.list_keys(spark, f"{path}-raw").first().length == 2
+
+
+def test_buildings_as_points(spark):
+    path = scratch_path(spark, "buildings")
+    sinks.write_text(spark, f"{path}/b.geojsonseq", '{"properties":{"@id":"way/7","building":"yes","building:levels":"3"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,2],[0,0]]]}}\n{"properties":{"@id":"node/8"},"geometry":{"type":"Point","coordinates":[1,1]}}')
+    r = readers.building_points(spark, f"{path}/*").collect()
+    assert [(x.osm_type, x.osm_id, x.lat, x.lon, x.levels, x.flats) for x in r] == [("way", "7", 1.0, 1.0, "3", None)]
+
+
+def test_models_are_kept_and_found(spark):
+    from landgrid.ml import models
+
+    o = spark.range(120).selectExpr("cast(id as string) object_id", "'apartment' as asset_class", f"{LAT} + (id % 12) * 0.02 as lat", f"{LON} + (id div 12) * 0.03 as lon", "cast(id % 9 as bigint) levels", "case when id % 5 = 0 then null else 'brick' end materials", "cast(1000 + (id % 9) * 50 as double) synthetic_target_rub_per_m2")
+    base = scratch_path(spark, "registry")
+    models.train_and_log(o, base, "quartet-apartment", folds=2, iterations=3)
+    model = models.load_latest(spark, base, "quartet-apartment")
+    got = models.infer(model, o.drop("synthetic_target_rub_per_m2"))
+    assert got.count() == 120 and got.where("y_pred is null").count() == 0
+    assert readers.latest_predictions(spark, base, ["quartet-apartment"]).count() == 120
+    with pytest.raises(FileNotFoundError):
+        models.load_latest(spark, base, "quartet")
