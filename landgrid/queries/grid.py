@@ -88,9 +88,9 @@ SEGMENTS = f"(SELECT way, lat AS from_lat, lon AS from_lon, to_lat, to_lon, {hav
 MIDDLES = f"(SELECT (from_lat + to_lat) / 2 AS lat, (from_lon + to_lon) / 2 AS lon, length_m FROM {SEGMENTS} s)"
 
 
-@REGISTRY.add("hex_road_features", f"SELECT c.h3_index, c.resolution, round(coalesce(s, 0.0), 4) AS road_length_m FROM ({COVERAGE}) c LEFT JOIN (SELECT h3_index, sum(length_m) AS s FROM {steps_sql(f'{MIDDLES} m', hex_steps(8))} x GROUP BY h3_index) g ON c.h3_index = g.h3_index")
+@REGISTRY.add("hex_road_features", f"SELECT c.h3_index, c.resolution, round(coalesce(s, 0.0), 2) AS road_length_m FROM ({COVERAGE}) c LEFT JOIN (SELECT h3_index, sum(length_m) AS s FROM {steps_sql(f'{MIDDLES} m', hex_steps(8))} x GROUP BY h3_index) g ON c.h3_index = g.h3_index")
 def hex_road_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(hexgrid.road_features(coverage(spark, sf_dir), ways(spark, sf_dir), 8), 4)
+    return rounded(hexgrid.road_features(coverage(spark, sf_dir), ways(spark, sf_dir), 8), 2)
 
 
 def _metro_sql() -> str:

@@ -37,10 +37,10 @@ def zonal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.zonal_counts(o, sql(spark, sf_dir, _ZONES), ["school", "cafe", "park"], _RADII).drop("lat", "lon")
 
 
-@REGISTRY.add("road_length_500m", f"SELECT a.object_id, round(coalesce(sum(b.length_m), 0.0), 4) AS road_length_500m FROM {OBJECTS} a LEFT JOIN {MIDDLES} b ON abs(a.lat - b.lat) < 0.01 AND {D} < 500 GROUP BY a.object_id")
+@REGISTRY.add("road_length_500m", f"SELECT a.object_id, round(coalesce(sum(b.length_m), 0.0), 2) AS road_length_500m FROM {OBJECTS} a LEFT JOIN {MIDDLES} b ON abs(a.lat - b.lat) < 0.01 AND {D} < 500 GROUP BY a.object_id")
 def road_length_500m(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = sql(spark, sf_dir, OBJECTS).select("object_id", "lat", "lon")
-    return rounded(spatial.road_length(o, ways(spark, sf_dir)).drop("lat", "lon"), 4)
+    return rounded(spatial.road_length(o, ways(spark, sf_dir)).drop("lat", "lon"), 2)
 
 
 @REGISTRY.add("road_graph_edges", f"SELECT from_lat, from_lon, to_lat, to_lon, round(length_m, 6) AS length_m FROM {SEGMENTS} s")
