@@ -71,8 +71,13 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
     """(id, component) for every id in edges (a, b: long); component is the smallest id that can be reached.
 
     Alternates large-star and small-star steps: each replaces a node's links by links to its smallest neighbour, by grouped
-    minima and joins only, until no link changes (a logarithmic number of rounds in practice). Self-links keep an id in the result.
+    minima and joins only, until no link changes (a logarithmic number of rounds in practice). A node that very many link to is
+    spread over salts, and its minimum sent to each. Self-links keep an id in the result.
     """
+
+    def lowest(links: DataFrame) -> DataFrame:
+        return salted_totals(links, ["u"], F.col("v"), {"m": F.min("v")}, {"m": F.min("m")})
+
     alone = edges.where("a = b").select(F.col("a").alias("id"))
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     alone = cut(alone.distinct(), label)
@@ -83,11 +88,11 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
             break
         sign = seen
         both = now.union(now.select("v", "u"))
-        low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(low, both.u == low.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(root, large.u == root.n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(root.select("n", "m")).distinct(), label)
+        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        near = lowest(large)
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        root = large.groupBy("u").agg(F.min("v").alias("v"))
+        now = cut(small.union(root).distinct(), label)
     else:
         raise RuntimeError("components did not settle")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
