@@ -158,7 +158,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["id", "label", "dim", "vec"])
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 12, window: int = 32, block: int = 512, part_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", broadcast_limit: int = 64 << 20) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 12, window: int = 32, block: int = 128, part_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", broadcast_limit: int = 64 << 20) -> DataFrame:
     """(id, n_links, component_id, kept) of every row of vectors.
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is at least the threshold. Vectors that
