@@ -122,6 +122,30 @@ def test_near_vectors_equal_brute_force(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_find_isolated_pairs_of_a_label_that_shares_a_direction(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], 500
+    for label, n in ((1, 6_000), (2, 1_500)):  # sorted in passes, and compared in blocks
+        common, x, u = rng.standard_normal(64), rng.standard_normal((n, 64)), rng.standard_normal((pairs, 64))
+        x = np.sqrt(0.95) * common / np.linalg.norm(common) + np.sqrt(0.05) * x / np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a = x[:pairs]
+        u -= (u * a).sum(1, keepdims=True) * a
+        x[pairs : 2 * pairs] = 0.981 * a + np.sqrt(1 - 0.981**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+        rows += [(label * 10_000 + i, v, label) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in embed_dedup.near_vectors(df).collect()}
+    share = {label: np.mean([got[label * 10_000 + i] == got[label * 10_000 + pairs + i] for i in range(pairs)]) for label in (1, 2)}
+    assert share[1] >= 0.97 and share[2] == 1.0
+
+
+def test_passes_grow_with_rows_and_with_what_vectors_share():
+    passes = [[embed_dedup.passes_for(n, alike, 0.98, 32, 128, 12, 0.02) for n in (10**5, 10**6, 10**7)] for alike in (0.0, 0.5, 0.8, 0.9)]
+    assert passes[0][0] == 12 and all(a <= b for p in passes for a, b in zip(p, p[1:])) and all(a <= b for p, q in zip(passes, passes[1:]) for a, b in zip(p, q))
+    assert passes[2][0] < passes[2][1] < passes[2][2] and embed_dedup.passes_for(33, 0.99, 0.98, 32, 128, 12, 0.02) == 1
+    assert embed_dedup.passes_for(2_000, 0.98, 0.98, 32, 128, 12, 0.02) == 0
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------------------------
 
 
