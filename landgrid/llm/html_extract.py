@@ -20,6 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title".split())
 NO_TEXT = frozenset("head script style noscript template title svg math iframe object canvas audio video select datalist textarea".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag closes the open elements named here, up to the nearest element of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -75,12 +76,21 @@ def _signs(attributes: str) -> int:
 
 def parse(page: str) -> Node:
     """The tree of a page. Never fails: ends that nothing opened are skipped, what is left open ends with the page, and a < that begins no
-    tag is text. Elements that show no text, and hidden ones, hold none."""
+    tag is text. Elements that show no text, and hidden ones, hold none. A head without an end goes to the body's start, or to the first
+    text or element that no head may hold."""
     root = Node("html", None)
     stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stand for the block that holds them
     at, in_link = 0, 0
 
+    def leave_head() -> None:
+        for i, (tag, _) in enumerate(stack):
+            if tag == "head":
+                close(i)
+                break
+
     def put(piece: str) -> None:
+        if stack[-1][0] == "head" and piece.strip(" \t\n\f\r"):
+            leave_head()
         node = stack[-1][1]
         if piece and not node.gone:
             if not node.children or node.children[-1].tag != "#text":
@@ -115,6 +125,8 @@ def parse(page: str) -> Node:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and all(t != "template" for t, _ in stack):
+            leave_head()
         if tag in ("html", "body"):
             stack[0][1].signs |= _signs(m[3])
             continue

@@ -122,6 +122,18 @@ def test_article_text(spark):
     assert got[2] == "" and got[3] == "" and html_extract.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body class=a><div>", "<div>", "<a href=x>skip</a>", "words ", "<noscript><img src=p>off<body>"])
+def test_a_head_without_an_end_is_left(start):
+    def shown(page):
+        return [x.text[0] for x in html_extract.nodes_of(html_extract.parse(page)) if x.text and x.text[0]]
+
+    head = "<!doctype html><html><head><meta charset=utf-8>\n<title>name</title><link href=x><noscript><img src=p>off</noscript><script>var a = 1</script>\n"
+    rest = "<p>First paragraph.<p>Second one."
+    bare = shown(start.replace("<noscript><img src=p>off", "") + rest)
+    assert bare[-2:] == ["First paragraph.", "Second one."] and shown(head + start + rest) == bare
+    assert shown(head + "<template><body><p>no</template>" + start + rest) == bare
+
+
 def test_a_choice_never_contradicts_one_above():
     order = html_extract.nodes_of(html_extract.parse("<div><p>a</p><div><p>b</p><p>c</p></div></div>"))
     log = np.log(np.full((len(order), 3), 1 / 3))
