@@ -15,6 +15,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = 2**63 - 1  # stands for null: no id is larger
 FLUSH = 1 << 20
+#: Surroundings sorted at once, and neighbours compared at once; an anchor's are never parted.
+SLICE = 1 << 14
 #: Small inputs are dealt to as many buckets, too, so that each document's places are as scattered as on large ones and rows grow with the text.
 LEAST_BUCKETS = 128
 _powers: list[np.ndarray] = []
@@ -272,15 +274,29 @@ class Suffixes:
         return out
 
     def sort(self, group: np.ndarray) -> np.ndarray:
-        """Order of all suffixes within their groups (of neighbours): by the first eight bytes, then by mergesort among those that share
-        them, unless these are all the same string."""
+        """Order of all suffixes within their groups (of neighbours): by eight bytes, and by the next eight where suffixes that share them
+        aren't the same string by hash; by mergesort where few are left."""
         order = np.lexsort((self.lead, np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))))
-        lead, g = self.lead[order], group[order]
-        s = np.concatenate([[0], np.flatnonzero((lead[1:] != lead[:-1]) | (g[1:] != g[:-1])) + 1, [len(order)]])
-        whole, size = self.whole[order], np.diff(s)
-        mixed = np.repeat(np.minimum.reduceat(whole, s[:-1]) != np.maximum.reduceat(whole, s[:-1]), size)
-        if mixed.any():
-            order[mixed] = self.merged(order[mixed], np.repeat(np.arange(len(size)), size)[mixed])
+        at, part, word = np.arange(len(order)), group[order], self.lead[order]
+        flat, depth = self.text.ravel(), 8
+        while len(at):
+            new = np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
+            s = np.append(np.flatnonzero(new), len(at))
+            whole = self.whole[order[at]]
+            mixed = np.repeat(np.minimum.reduceat(whole, s[:-1]) != np.maximum.reduceat(whole, s[:-1]), np.diff(s))
+            at, part = at[mixed], np.cumsum(new)[mixed]
+            if depth + 8 > self.length or len(at) < 1_000:
+                break
+            here = order[at]
+            start = self.r[here] * self.wide + self.a[here] + depth
+            word = np.zeros(len(at), np.uint64)
+            for n in range(8):
+                word = (word << np.uint64(8)) | flat[start + n]
+            by = np.lexsort((word, part))
+            order[at], word, part = here[by], word[by], part[by]
+            depth += 8
+        if len(at):
+            order[at] = self.merged(order[at], part)
         return order
 
     def merged(self, order: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -313,8 +329,8 @@ class Suffixes:
 
 def shared_windows(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, a): the windows at byte a of surroundings i that a smaller document's surroundings of the same anchor hold as well.
-    Rows come sorted by anchor. Suffixes whose first `length` bytes have a hash of their own are left out of the sort, and of those that
-    share one only the first is sorted."""
+    Rows come sorted by anchor. All suffixes are sorted within their anchor; runs of neighbours that agree in `length` bytes are the
+    strings that occur more than once."""
     reach = length - k
     first = reach - left.astype(np.int64)
     spare = left.astype(np.int64) + k + right - length + 1  # windows of each
@@ -324,34 +340,20 @@ def shared_windows(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     if not len(r):
         return r, a
     suffix = Suffixes(text, r, a, length)
-    key = _mixed(suffix.whole ^ _mixed(anchor[r]))
-    _, lead, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    stay = count > 1
-    lead, number = lead[stay], np.cumsum(stay) - 1
-    members = np.flatnonzero(stay[inverse])
-    cls = number[inverse[members]]
-    if not len(members):
-        return r[:0], a[:0]
+    order = suffix.sort(anchor[r])
+    i, j = order[:-1], order[1:]
+    same = (anchor[r[i]] == anchor[r[j]]) & (suffix.whole[i] == suffix.whole[j])
     view = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
-    row, first = lead[cls], r[members]
-    if (view[first, a[members]] == view[r[row], a[row]]).all() and (anchor[first] == anchor[r[row]]).all():
-        # One suffix stands for the equal ones, as verified; neighbours in the sorted order tell whether two stand for the same string.
-        by_anchor = np.argsort(r[lead], kind="stable")
-        heads = Suffixes(text, r[lead][by_anchor], a[lead][by_anchor], length)
-        order = heads.sort(anchor[r[lead]][by_anchor])
+    x, y = i[same], j[same]
+    if not all((view[r[x[n : n + SLICE]], a[x[n : n + SLICE]]] == view[r[y[n : n + SLICE]], a[y[n : n + SLICE]]]).all() for n in range(0, len(x), SLICE)):
+        # Two strings of one hash: suffixes are sorted by the bytes themselves.
+        order = np.lexsort((*view[r, a].T[::-1], anchor[r]))
         i, j = order[:-1], order[1:]
-        new = (anchor[heads.r[i]] != anchor[heads.r[j]]) | (heads.extension(i, j) < length)
-        rank = np.empty(len(lead), np.int64)
-        rank[by_anchor[order]] = np.concatenate([[0], np.cumsum(new)])
-        cls = rank[cls]
-    else:  # two strings of one hash: suffixes are sorted by the bytes themselves
-        order = np.lexsort((*view[first, a[members]].T[::-1], anchor[first]))
-        members = members[order]
-        i, j = members[:-1], members[1:]
-        cls = np.concatenate([[0], np.cumsum((anchor[r[i]] != anchor[r[j]]) | (view[r[i], a[i]] != view[r[j], a[j]]).any(1))])
-    least = np.full(cls.max() + 1, NO_ID, np.int64)
-    np.minimum.at(least, cls, doc[r[members]])
-    out = members[doc[r[members]] > least[cls]]
+        same = (anchor[r[i]] == anchor[r[j]]) & (view[r[i], a[i]] == view[r[j], a[j]]).all(1)
+    cls = np.concatenate([[0], np.cumsum(~same)])
+    d = doc[r[order]]
+    least = np.minimum.reduceat(d, _runs(cls)[:-1])
+    out = order[d > least[cls]]
     return r[out], a[out]
 
 
@@ -383,9 +385,12 @@ def _decide(length: int, k: int):
             several = np.repeat(np.minimum.reduceat(c["doc"][i], s[:-1]) != np.maximum.reduceat(c["doc"][i], s[:-1]), np.diff(s))
             i = i[several]
             if len(i):
-                r, a = shared_windows(h[i], c["doc"][i], c["left"][i], c["right"][i], text[i], length, k)
-                start = c["off"][i[r]] - reach + a
-                put(i[r], start, start + length)
+                s = _runs(h[i])
+                parts = np.split(i, s[1:-1][np.diff(s[1:] // SLICE) > 0])
+                for i in parts:
+                    r, a = shared_windows(h[i], c["doc"][i], c["left"][i], c["right"][i], text[i], length, k)
+                    start = c["off"][i[r]] - reach + a
+                    put(i[r], start, start + length)
         doc, row, off = np.concatenate(doc), np.concatenate(row), np.concatenate(off)
         wide = off[:, 1] - off[:, 0] >= length
         doc, row, off = doc[wide], row[wide], off[wide]
@@ -431,8 +436,8 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     Of equal texts only the smallest document's is looked at: the others are covered whole. Then:
     1. Of every window the smallest k-gram by hash is an anchor. Anchors are packed by hash bucket, and those of several documents found.
     2. Around these, the surroundings of up to length - k bytes on each side are gathered by anchor. Equal ones collapse: all but the smallest
-       document's are covered whole. Where the surroundings of one anchor differ, the suffixes that start in them are sorted by hash-compared
-       mergesort, verified by their bytes, and each run of equal `length`-byte prefixes is covered but for its smallest document.
+       document's are covered whole. Where the surroundings of one anchor differ, all suffixes that start in them are sorted (eight bytes at a
+       time, then by hash-compared mergesort), neighbours verified by their bytes, and each run of equal `length`-byte prefixes is covered but for its smallest document.
     3. Ranges meet their text again and are cut out.
     Buckets grow in number with the text, not in size; what many documents share is collapsed before it is sent.
     """

@@ -210,6 +210,37 @@ def test_suffix_sort_orders_suffixes(rows, length):
     assert [(group[i], cut[i]) for i in plain] == sorted(zip(group.tolist(), cut, strict=True))
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_sorted_suffixes_decide_the_shared_windows(monkeypatch, collide):
+    rng = np.random.default_rng(10)
+    length, k, n = 50, 24, 400
+    reach = length - k
+    anchor, doc = np.sort(rng.integers(0, 40, n)).astype(np.uint64), rng.integers(0, 100, n)
+    text = rng.integers(97, 123, (40, length + reach)).astype(np.uint8)[anchor.astype(int)]
+    left, right = rng.integers(0, reach + 1, n).astype(np.uint8), rng.integers(0, reach + 1, n).astype(np.uint8)
+    for row, (x, y) in enumerate(zip(reach - left.astype(int), reach + k + right.astype(int), strict=True)):
+        text[row, :x], text[row, y:] = 0, 0
+        text[row, rng.integers(0, length + reach)] = rng.integers(97, 123)
+    sorted_sizes, real = [], substring_dedup.Suffixes.sort
+
+    def sort(self, group):
+        sorted_sizes.append(len(self.r))
+        if collide:
+            self.whole[:] = 1
+        return real(self, group)
+
+    monkeypatch.setattr(substring_dedup.Suffixes, "sort", sort)
+    r, a = substring_dedup.shared_windows(anchor, doc, left, right, text, length, k)
+    windows = [(i, x) for i in range(n) for x in range(reach - int(left[i]), reach + k + int(right[i]) - length + 1)]
+    least = {}
+    for i, x in windows:
+        key = anchor[i], text[i, x : x + length].tobytes()
+        least[key] = min(doc[i], least.get(key, doc[i]))
+    want = {(i, x) for i, x in windows if doc[i] > least[anchor[i], text[i, x : x + length].tobytes()]}
+    assert set(zip(r.tolist(), a.tolist(), strict=True)) == want and len(want) > 100
+    assert sorted_sizes == [len(windows)]
+
+
 def test_merged_ranges():
     assert substring_dedup.merged(np.array([[5, 9], [0, 3], [3, 4], [8, 12], [20, 21]])).tolist() == [[0, 4], [5, 12], [20, 21]]
     assert substring_dedup.merged(np.zeros((0, 2), int)).tolist() == []
