@@ -17,7 +17,7 @@ NO_ID = 2**63 - 1  # stands for null: no id is larger
 FLUSH = 1 << 20
 #: Surroundings sorted at once, and neighbours compared at once; an anchor's are never parted.
 SLICE = 1 << 14
-#: Small inputs are dealt to as many buckets, too, so that each document's places are as scattered as on large ones and rows grow with the text.
+#: Floor of the number of buckets, below 128 * bucket_bytes of text. Above it rows a document still grow with the buckets (see the README).
 LEAST_BUCKETS = 128
 _powers: list[np.ndarray] = []
 
