@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
+import math
 import random
 import re
 from collections import defaultdict
@@ -90,6 +92,20 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert all(a >= b for a, b in zip(strict, limits, strict=True))
 
 
+def test_bands_and_pruning_together_miss_few_pairs():
+    given_ = {n: p.default for n, p in inspect.signature(ngram_join.jaccard_join).parameters.items()}
+    bands, rows, step = given_["bands"], given_["rows"], 16
+    limits = ngram_join.posterior_limits(given_["threshold"], given_["tolerance"], bands * rows // step * step, step)
+    for j in (0.8, 0.82, 0.85):
+        one = np.array([math.comb(step, m) * j**m * (1 - j) ** (step - m) for m in range(step + 1)])
+        chance, pruned = np.ones(1), 0.0
+        for limit in limits:
+            chance = np.convolve(chance, one)
+            pruned += chance[:limit].sum()
+            chance[:limit] = 0
+        assert pruned + (1 - j**rows) ** bands < 6.5e-5
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------------------------
 
 
