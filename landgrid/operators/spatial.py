@@ -14,30 +14,33 @@ from pyspark.sql import types as T
 from landgrid.functions import kernels
 from landgrid.functions.geo import EARTH_M, apply_steps, haversine_col, num, utm_steps
 from landgrid.operators.hexgrid import segments
+from landgrid.operators.radius import radius_totals
 from landgrid.scratch import cut
 
 #: Cells are this much wider than the radius, against rounding.
 WIDER = 1.0001
 
 
-def _lon_step(band: str, step: float) -> str:
-    """Width in degrees of a band's columns: the radius at the latitude, within a neighbouring band, farthest from the equator."""
-    top = f"least({num(89.9)}, (greatest(abs({band}), abs({band} + 1)) + 1) * {num(step)})"
-    return f"({num(step)} / cos(radians({top})))"
+def _columns(band: str, step: float) -> str:
+    """Number of columns of a band: at least the radius wide at the latitude, within a neighbouring band, farthest from the equator; one
+    near a pole."""
+    top = f"((greatest(abs({band}), abs({band} + 1)) + 1) * {num(step)})"
+    return f"(CASE WHEN {top} > 89.9 THEN 1 ELSE greatest(1, CAST(floor(360 * cos(radians({top})) / {num(step)}) AS BIGINT)) END)"
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of rows nearer than radius_m: columns of both (those of right with the prefix r_) and distance_m. Both have lat and lon.
 
     Bands of latitude are at least a radius high and columns within a band at least a radius wide, so that what is near lies in the same or a
-    neighbouring cell: right, which should be the smaller side, is sent to nine cells, and the join is on the cell. Null coordinates pair
-    with nothing. Radii must be far below the size of the globe, and pairs across the 180th meridian aren't found.
+    neighbouring cell, around the globe: right, which should be the smaller side, is sent to nine cells at most, and the join is on the cell.
+    Null coordinates pair with nothing. Where only counts or sums are wanted, see radius.radius_totals.
     """
     step = math.degrees(radius_m / EARTH_M) * WIDER
-    a = left.withColumn("__band", F.floor(F.col("lat") / step)).withColumn("__col", F.expr(f"floor(lon / {_lon_step('__band', step)})"))
+    column = lambda lon, band: f"CAST(floor(({lon} + 180) / 360 * {_columns(band, step)}) AS BIGINT)"
+    a = left.withColumn("__band", F.floor(F.col("lat") / step)).withColumn("__col", F.expr(f"pmod({column('lon', '__band')}, {_columns('__band', step)})"))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     b = b.withColumn("__rb", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("r_lat") / step) + i)))
-    b = b.withColumn("__rc", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.expr(f"floor(r_lon / {_lon_step('__rb', step)})") + i)))
+    b = b.withColumn("__rc", F.expr(f"explode(array_distinct(transform(array(-1L, 0L, 1L), i -> pmod({column('r_lon', '__rb')} + i, {_columns('__rb', step)}))))"))
     pairs = a.join(b, (F.col("__band") == F.col("__rb")) & (F.col("__col") == F.col("__rc"))).withColumn("distance_m", haversine_col("lat", "lon", "r_lat", "r_lon"))
     return pairs.where(F.col("distance_m") < radius_m).drop("__band", "__col", "__rb", "__rc")
 
@@ -46,25 +49,39 @@ def _joined_counts(objects: DataFrame, counts: DataFrame, columns: list[str]) ->
     return objects.drop(*columns).join(counts, "object_id", "left").na.fill(0, columns)
 
 
+def _own_points(objects: DataFrame, points: DataFrame, wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """Of each object how many of the points counted for it carry its own id."""
+    own = points.select(F.col("object_id").alias("__id"), F.col("kind").alias("__kind"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    pairs = objects.select("object_id", "lat", "lon").join(own, F.col("object_id") == F.col("__id")).withColumn("__d", haversine_col("lat", "lon", "__lat", "__lon"))
+    return pairs.groupBy("object_id").agg(*[F.count_if((F.col("__kind") == k) & (F.col("__d") < r)).alias(n) for n, k, r in wanted])
+
+
+def _counted(objects: DataFrame, points: DataFrame, wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """objects and the counts wanted of points (kind, lat, lon, and object_id where they are objects, which don't count for themselves)."""
+    counts = radius_totals(objects, points, "object_id", wanted)
+    if "object_id" in points.columns:
+        names = [n for n, *_ in wanted]
+        own = _own_points(objects, points, wanted).select("object_id", *[F.expr(f"-`{n}`").alias(n) for n in names])
+        counts = counts.unionByName(own).groupBy("object_id").agg(*[F.sum(f"`{n}`").alias(n) for n in names])
+    return _joined_counts(objects, counts, [n for n, *_ in wanted])
+
+
 def neighbour_counts(objects: DataFrame, radius_m: float = 500.0) -> DataFrame:
-    """objects and the number of other apartments, houses and commercial objects nearer than the radius (names say 500 m for any)."""
+    """objects and the number of other apartments, houses and commercial objects nearer than the radius (names say 500 m for any). Ids are
+    unique."""
     kinds = {"apartment": "count_apartments_500m", "house": "count_houses_500m", "commercial": "count_commercial_500m"}
-    right = objects.where(F.col("asset_class").isin(*kinds)).select("object_id", "asset_class", "lat", "lon")
-    pairs = radius_pairs(objects.select("object_id", "lat", "lon"), right, radius_m).where("object_id <> r_object_id")
-    counts = pairs.groupBy("object_id").agg(*[F.count_if(F.col("r_asset_class") == k).alias(v) for k, v in kinds.items()])
-    return _joined_counts(objects, counts, list(kinds.values()))
+    points = objects.select(F.col("asset_class").alias("kind"), "lat", "lon", "object_id")
+    return _counted(objects, points, [(n, k, radius_m) for k, n in kinds.items()])
 
 
 def zonal_counts(objects: DataFrame, points: DataFrame, layers: list[str], radii: list[int]) -> DataFrame:
     """objects and, for each layer and radius, how many of the layer's points are nearer: {layer}_within_{r}m.
 
-    points: layer, lat, lon, and object_id where they are objects themselves (these don't count for themselves). One join at the largest
-    radius serves all. Layers without points count 0.
+    points: layer, lat, lon, and object_id where they are objects themselves (these don't count for themselves). Ids of objects are unique.
+    Layers without points count 0.
     """
-    own = F.col("r_object_id").isNull() | (F.col("object_id") != F.col("r_object_id")) if "object_id" in points.columns else F.lit(True)
-    pairs = radius_pairs(objects.select("object_id", "lat", "lon"), points.where(F.col("layer").isin(*layers)), max(radii)).where(own)
-    made = {f"{la}_within_{r}m": F.count_if((F.col("r_layer") == la) & (F.col("distance_m") < r)) for la in layers for r in sorted(set(radii))}
-    return _joined_counts(objects, pairs.groupBy("object_id").agg(*[v.alias(k) for k, v in made.items()]), list(made))
+    wanted = [(f"{la}_within_{r}m", la, float(r)) for la in layers for r in sorted(set(radii))]
+    return _counted(objects, points.withColumnRenamed("layer", "kind"), wanted)
 
 
 def road_length(objects: DataFrame, ways: DataFrame, radius_m: float = 500.0) -> DataFrame:

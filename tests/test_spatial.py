@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from landgrid.operators import graph, spatial
+from landgrid.functions import discs
+from landgrid.operators import graph, radius, spatial
 from tests.test_geo import LAT, LON, haversine
 
 DLAT, DLON = 1 / 111_194.9, 1 / (111_194.9 * math.cos(math.radians(LAT)))
@@ -19,7 +20,42 @@ def points(spark, rows):
     return spark.createDataFrame([(i, *at(e, n)) for i, e, n in rows], "object_id string, lat double, lon double")
 
 
-@pytest.mark.parametrize("lat0", [0.0, 55.8, -33.0, 78.0])
+@pytest.mark.parametrize(("lat0", "lon0", "spread", "radius"), [(55.7, 49.0, 0.1, 500.0), (0.0, 179.98, 0.05, 700.0), (0.0, -179.999, 0.05, 700.0), (89.9, 10.0, 0.2, 20_000.0), (-89.99, 10.0, 0.02, 3_000.0), (80.0, 0.0, 0.05, 500.0)])
+def test_discs_equal_all_distances(lat0, lon0, spread, radius):
+    rng = np.random.default_rng(1)
+    lat = np.clip(lat0 + rng.uniform(0, spread, 1500), -90, 90)
+    lon = (lon0 + rng.uniform(0, spread * (1 if abs(lat0) < 85 else 3600), 1500) + 180) % 360 - 180
+    weight, d = rng.random(1500), discs.haversine(lat[:200, None], lon[:200, None], lat, lon)
+    assert (discs.Strips(lat, lon, None, radius).totals(lat[:200], lon[:200]) == (d < radius).sum(1)).all()
+    assert np.allclose(discs.Strips(lat, lon, weight, radius).totals(lat[:200], lon[:200]), np.where(d < radius, weight, 0).sum(1), atol=1e-12)
+
+
+@pytest.mark.parametrize("most", [1 << 16, 20])
+def test_totals_equal_all_pairs_also_where_tiles_are_dealt(spark, monkeypatch, most):
+    monkeypatch.setattr(radius, "MOST_PLACES", most)
+    monkeypatch.setattr(radius, "MOST_POINTS", most)
+    rng = np.random.default_rng(5)
+    a = [(str(i), float(la), float((lo + 180) % 360 - 180)) for i, (la, lo) in enumerate(zip(rng.uniform(10, 10.05, 60), rng.uniform(179.97, 180.03, 60), strict=True))]
+    b = [("x" if i % 3 else "y", float(la), float((lo + 180) % 360 - 180), float(i)) for i, (la, lo) in enumerate(zip(rng.uniform(10, 10.05, 150), rng.uniform(179.97, 180.03, 150), strict=True))]
+    places = spark.createDataFrame([*a, ("none", None, 3.0)], "object_id string, lat double, lon double")
+    pts = spark.createDataFrame([*b, ("x", None, None, 1.0)], "kind string, lat double, lon double, v double")
+    n = {r.object_id: (r.x1, r.x2, r.y2, r.z) for r in radius.radius_totals(places, pts, "object_id", [("x1", "x", 300.0), ("x2", "x", 900.0), ("y2", "y", 900.0), ("z", "z", 900.0)]).collect()}
+    s = {r.object_id: r.x2 for r in radius.radius_totals(places, pts, "object_id", [("x2", "x", 900.0)], "v").collect()}
+    for i, la, lo in a:
+        d = [(k, haversine(la, lo, ma, mo), v) for k, ma, mo, v in b]
+        assert n[i] == (sum(k == "x" and x < 300 for k, x, _ in d), sum(k == "x" and x < 900 for k, x, _ in d), sum(k == "y" and x < 900 for k, x, _ in d), 0)
+        assert s[i] == pytest.approx(sum(v for k, x, v in d if k == "x" and x < 900))
+
+
+def test_pairs_and_nearest_cross_the_meridian(spark):
+    o = spark.createDataFrame([("a", 60.0, 179.9999)], "object_id string, lat double, lon double")
+    p = spark.createDataFrame([("near", 60.0, -179.9999), ("far", 60.0, 175.0)], "layer string, lat double, lon double")
+    assert [r.r_layer for r in spatial.radius_pairs(o, p, 500.0).collect()] == ["near"]
+    r = spatial.nearest_points(o, p, "object_id").first()
+    assert r.r_layer == "near" and r.distance_m == pytest.approx(11.1, abs=0.1)
+
+
+@pytest.mark.parametrize("lat0", [0.0, 55.8, -33.0, 78.0, -89.98])
 def test_radius_join_equals_all_pairs(spark, lat0):
     rng = np.random.default_rng(3)
     p = [(str(i), float(lat0 + y), float(10 + x)) for i, (y, x) in enumerate(rng.uniform(-0.02, 0.02, (120, 2)))]
