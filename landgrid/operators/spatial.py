@@ -85,9 +85,9 @@ def zonal_counts(objects: DataFrame, points: DataFrame, layers: list[str], radii
 
 
 def road_length(objects: DataFrame, ways: DataFrame, radius_m: float = 500.0) -> DataFrame:
-    """objects and road_length_500m: metres of segments whose middle is nearer than the radius."""
-    middle = segments(ways).select(((F.col("from_lat") + F.col("to_lat")) / 2).alias("lat"), ((F.col("from_lon") + F.col("to_lon")) / 2).alias("lon"), "length_m")
-    sums = radius_pairs(objects.select("object_id", "lat", "lon"), middle, radius_m).groupBy("object_id").agg(F.sum("r_length_m").alias("road_length_500m"))
+    """objects and road_length_500m: metres of segments whose middle is nearer than the radius. Ids are unique."""
+    middle = segments(ways).select(((F.col("from_lat") + F.col("to_lat")) / 2).alias("lat"), ((F.col("from_lon") + F.col("to_lon")) / 2).alias("lon"), "length_m", F.lit("road").alias("kind"))
+    sums = radius_totals(objects, middle, "object_id", [("road_length_500m", "road", radius_m)], "length_m")
     return objects.drop("road_length_500m").join(sums, "object_id", "left").na.fill(0.0, ["road_length_500m"])
 
 
