@@ -16,7 +16,7 @@ from landgrid.plans import serving
 from landgrid.queries import REGISTRY
 from landgrid.queries.data import OBJECTS, sql, ways
 from landgrid.queries.grid import rounded
-from landgrid.scratch import scratch_path
+from landgrid.scratch import cut, hadoop_path, scratch_path
 from landgrid.sources import readers, sinks
 from landgrid.streaming import rollup
 
@@ -191,14 +191,18 @@ def geojson_layer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "layer")
 
 
+#: As downloads come in tiles of bounded size, files grow in number with the ways.
+WAYS_A_FILE = 5_000
+
+
 @REGISTRY.add("overpass_ways", "SELECT l_orderkey AS id, count(*)::BIGINT AS nodes FROM lineitem GROUP BY l_orderkey")
 def overpass_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of elements: each way, a relation of the same geometry, and a way without any."""
     path = scratch_path(spark, "elements")
-    w = ways(spark, sf_dir)
+    w = cut(ways(spark, sf_dir), "ways")
     of = lambda kind, geometry: F.struct(F.lit(kind).alias("type"), F.col("way").alias("id"), geometry.alias("geometry"))
     none = F.lit(None).cast(w.schema["geometry"].dataType)
-    packs = w.withColumn("pack", F.pmod(F.xxhash64("way"), F.lit(8))).groupBy("pack").agg(F.flatten(F.collect_list(F.array(of("way", F.col("geometry")), of("relation", F.col("geometry")), of("way", none)))).alias("elements"))
+    packs = w.withColumn("pack", F.pmod(F.xxhash64("way"), F.lit(max(8, w.count() // WAYS_A_FILE)))).groupBy("pack").agg(F.flatten(F.collect_list(F.array(of("way", F.col("geometry")), of("relation", F.col("geometry")), of("way", none)))).alias("elements"))
     packs.select(F.to_json(F.struct("elements")).alias("value"), "pack").write.partitionBy("pack").text(path)
     return readers.road_ways(spark, path).select("id", F.size("geometry").cast("bigint").alias("nodes"))
 
