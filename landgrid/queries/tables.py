@@ -44,6 +44,22 @@ _FEATURE_BASE = f"(SELECT o.*, CAST(split_part(object_id, '/', 2) AS BIGINT) AS
 _FEATURES = f"(SELECT k, k % 100 AS page, concat(' 16:', CAST(k AS STRING), ' ') AS cad_num, CASE k % 5 WHEN 0 THEN ' Многоквартирный дом' WHEN 1 THEN 'Жилой дом' WHEN 2 THEN 'Нежилое ' WHEN 3 THEN 'Гараж' ELSE '' END AS purpose, CASE WHEN k % 4 = 0 THEN concat(' ', CAST(levels AS STRING), ' ') WHEN k % 4 = 1 THEN concat(CAST(levels AS STRING), '.9') WHEN k % 4 = 2 THEN '' ELSE 'n/a' END AS floors, CAST(area_m2 AS STRING) AS area, k % 9 * 1000.5 AS cost, k * 10 + 5460000 AS x, k * 20 + 7500000 AS y FROM {_FEATURE_BASE} f)"
 
 
+FEATURES_A_PAGE = 1_000
+
+
+def _renamed(spark: SparkSession, pages: DataFrame, path: str) -> None:
+    """Writes (page, value) as files page-<number>.json: by the executors, in a folder each, which the driver then only renames."""
+    aside = f"{path}-aside"
+    pages.write.partitionBy("page").text(aside)
+    fs, out = hadoop_path(spark, path)
+    fs.mkdirs(out)
+    for folder in fs.globStatus(hadoop_path(spark, f"{aside}/page=*")[1]):
+        number = int(folder.getPath().getName().split("=")[1])
+        for file in fs.globStatus(hadoop_path(spark, f"{folder.getPath()}/part-*")[1]):
+            fs.rename(file.getPath(), hadoop_path(spark, f"{path}/page-{number:09d}.json")[1])
+    fs.delete(hadoop_path(spark, aside)[1], True)
+
+
 def _registry_pages(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "pages")
     f = sql(spark, sf_dir, _FEATURES)
@@ -51,9 +67,8 @@ def _registry_pages(spark: SparkSession, sf_dir: str) -> str:
     ring = F.array(*[F.array(a, b) for a, b in ((x, y), (x + 10, y), (x + 10, y + 20), (x, y + 20), (x, y))])
     options = F.struct("cad_num", "purpose", F.col("floors"), F.col("area").alias("build_record_area"), F.col("cost").cast("double").alias("cost_value"), (F.col("cost").cast("double") / 10).alias("cost_index"))
     one = F.struct(F.col("k").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(options.alias("options")).alias("properties"))
-    pages = f.groupBy("page").agg(F.collect_list(F.struct("k", one.alias("f"))).alias("fs")).select("page", F.to_json(F.struct(F.struct(F.transform(F.sort_array(F.col("fs").cast("array<struct<k:bigint,f:struct<id:bigint,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<options:struct<cad_num:string,purpose:string,floors:string,build_record_area:string,cost_value:double,cost_index:double>>>>>")), lambda v: v["f"]).alias("features")).alias("data"))).alias("value"))
-    for i, row in enumerate(pages.orderBy("page").collect()):  # a hundred pages: they stand for downloaded files
-        sinks.write_text(spark, f"{path}/page-{i:04d}.json", row["value"])
+    pages = f.withColumn("page", F.floor(F.col("k") / FEATURES_A_PAGE)).groupBy("page").agg(F.collect_list(F.struct("k", one.alias("f"))).alias("fs")).select("page", F.to_json(F.struct(F.struct(F.transform(F.sort_array(F.col("fs").cast("array<struct<k:bigint,f:struct<id:bigint,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<options:struct<cad_num:string,purpose:string,floors:string,build_record_area:string,cost_value:double,cost_index:double>>>>>")), lambda v: v["f"]).alias("features")).alias("data"))).alias("value"))
+    _renamed(spark, pages, path)
     return path
 
 
@@ -85,11 +100,15 @@ _PARAMS = "(SELECT CAST(100000 + c_custkey AS BIGINT) AS objectid, t AS typeid,
 _LIVE = f"(SELECT objectid, typeid, value, stead FROM {_PARAMS} p WHERE enddate = '2079-06-06' AND typeid IN (5, 6, 7, 8))"
 
 
+ROWS_A_FILE = 50_000
+
+
 def _xml(spark: SparkSession, rows: DataFrame, tag: str, names: dict[str, str]) -> str:
     path = scratch_path(spark, "xml")
     text = F.concat(F.lit(f"<{tag}"), *[F.concat(F.lit(f' {k}="'), F.coalesce(F.col(v).cast("string"), F.lit("")), F.lit('"')) for k, v in names.items()], F.lit("/>"))
-    file = rows.agg(F.concat(F.lit("<ROWS>"), F.array_join(F.collect_list(text), "\n"), F.lit("</ROWS>")))  # stands for one downloaded file
-    file.write.text(path)
+    flat = cut(rows.select(text.alias("line")), "lines")
+    packs = flat.withColumn("pack", F.pmod(F.xxhash64("line"), F.lit(max(1, flat.count() // ROWS_A_FILE)))).groupBy("pack")
+    packs.agg(F.concat(F.lit("<ROWS>"), F.array_join(F.collect_list("line"), "\n"), F.lit("</ROWS>")).alias("value")).write.partitionBy("pack").text(path)
     return path
 
 
