@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from landgrid.functions.discs import Strips
@@ -61,7 +61,6 @@ def radius_totals(places: DataFrame, points: DataFrame, key: str, wanted: list[t
     root of the density. A tile's places and points beyond a bound are dealt to several tasks, and their sums added. Rows without
     coordinates count for nothing. Distances go across the 180th meridian and the poles.
     """
-    spark = places.sparkSession
     far = max(r for *_, r in wanted)
     high = math.degrees(min(TILE * far / EARTH_M, math.pi))
     a = _tile(places.select(F.col(key).alias("__key"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null"), high)
@@ -70,22 +69,34 @@ def radius_totals(places: DataFrame, points: DataFrame, key: str, wanted: list[t
     code = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).cast("int")
     b = points.where(F.col("kind").isin(kinds)).select(code.alias("kind"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), weight.alias("w"))
     b = _tiles_near(cut(b.where("lat is not null and lon is not null"), "points"), high, far)
+    left, right, dealt = in_tiles(a, b, ["__key", "lat", "lon"], ["lat", "lon", "kind", "w"])
+    names = [x for x, *_ in wanted]
+    schema = ", ".join([f"__key {places.schema[key].dataType.simpleString()}", *(f"`{x}` {'bigint' if value is None else 'double'}" for x in names)])
+    made = left.cogroup(right).applyInArrow(_kernel([(x, kinds.index(k) + 1, r) for x, k, r in wanted], value is not None), schema)
+    made = made.withColumnRenamed("__key", key)
+    return made.groupBy(key).agg(*[F.sum(F.col(f"`{x}`")).alias(x) for x in names]) if dealt else made
+
+
+def in_tiles(a: DataFrame, b: DataFrame, salt_a: list[str], salt_b: list[str]) -> tuple[GroupedData, GroupedData, bool]:
+    """Two sides grouped by tile (columns of TILES), for a cogroup whose results add up, and whether any tile is dealt to several tasks:
+    one with more rows than a bound has its rows dealt by the salts, each part meeting each part of the other side."""
     sizes = cut(_parts(a, MOST_PLACES, "__pa").join(_parts(b, MOST_POINTS, "__pb"), TILES, "full").na.fill(1), "tiles")
     overfull = sizes.count()
     if overfull:
         sizes = F.broadcast(sizes) if overfull <= MOST_SENT else sizes
-        a, b = _dealt(a, sizes, "a", "b", ["__key", "lat", "lon"]), _dealt(b, sizes, "b", "a", ["lat", "lon", "kind", "w"])
+        a, b = _dealt(a, sizes, "a", "b", salt_a), _dealt(b, sizes, "b", "a", salt_b)
     else:
         a, b = (x.withColumns({"__a": F.lit(0), "__b": F.lit(0)}) for x in (a, b))
     # Numbers of partitions are given, as work is out of proportion to the bytes by which Spark would merge them.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = tasks(a)
     at = [*TILES, "__a", "__b"]
-    left, right = a.repartition(n, *at), b.repartition(n, *at)
-    names = [x for x, *_ in wanted]
-    schema = ", ".join([f"__key {places.schema[key].dataType.simpleString()}", *(f"`{x}` {'bigint' if value is None else 'double'}" for x in names)])
-    made = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_kernel([(x, kinds.index(k) + 1, r) for x, k, r in wanted], value is not None), schema)
-    made = made.withColumnRenamed("__key", key)
-    return made.groupBy(key).agg(*[F.sum(F.col(f"`{x}`")).alias(x) for x in names]) if overfull else made
+    return a.repartition(n, *at).groupBy(*at), b.repartition(n, *at).groupBy(*at), overfull > 0
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for kernels: the session's shuffle partitions, and several for each core."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def _dealt(df: DataFrame, sizes: DataFrame, own: str, other: str, salt: list[str]) -> DataFrame:

@@ -165,7 +165,7 @@ def polygons_of(named: DataFrame, wkt_col: str = "wkt") -> DataFrame:
             made = []
             for wkt in f[wkt_col]:
                 kind, parts = kernels.parse_wkt(wkt)
-                e = np.concatenate([kernels._edges(p) for p in parts]) if parts and "POLYGON" in kind else np.zeros((0, 4))
+                e = np.concatenate([kernels.edges(p) for p in parts]) if parts and "POLYGON" in kind else np.zeros((0, 4))
                 box = [float(e[:, [0, 2]].min()), float(e[:, [1, 3]].min()), float(e[:, [0, 2]].max()), float(e[:, [1, 3]].max())] if len(e) else [None] * 4
                 made.append([[dict(zip(("x1", "y1", "x2", "y2"), map(float, r), strict=True)) for r in e], *box])
             yield f.assign(**{c: [m[i] for m in made] for i, c in enumerate(("edges", "x0", "y0", "x1", "y1"))})
@@ -191,7 +191,7 @@ def districts_of(objects: DataFrame, named: DataFrame) -> DataFrame:
 def filter_inside(points: DataFrame, polygon_wkt: str) -> DataFrame:
     """points strictly inside a polygon; those on its boundary and those without coordinates go. The polygon is one row of constants."""
     kind, parts = kernels.parse_wkt(polygon_wkt)
-    e = np.concatenate([kernels._edges(p) for p in parts])
+    e = np.concatenate([kernels.edges(p) for p in parts])
     edges = F.from_json(F.lit("[" + ",".join('{"x1":%r,"y1":%r,"x2":%r,"y2":%r}' % tuple(map(float, r)) for r in e) + "]"), EDGES)
     box = F.col("lon").between(float(e[:, [0, 2]].min()), float(e[:, [0, 2]].max())) & F.col("lat").between(float(e[:, [1, 3]].min()), float(e[:, [1, 3]].max()))
     return points.where(box).where(inside(F.col("lon"), F.col("lat"), edges, boundary=False))
@@ -237,44 +237,6 @@ def geometry_distances(objects: DataFrame, geometries: DataFrame, layers: list[s
     return objects.drop(*names).join(wide.select("object_id", *[F.col(f"`{la}`").alias(n) for la, n in zip(layers, names, strict=True)]), "object_id", "left")
 
 
-def area_shares(objects: DataFrame, geometries: DataFrame, layers: list[str], radii: list[int]) -> DataFrame:
-    """objects and {layer}_share_{r}m: the part of the 32-cornered disc around an object that the layer's polygons cover, overlaps once.
-
-    geometries: layer, wkt (degrees). Polygons are sent to the cells around their box, an object meets those of its cell whose box touches
-    its largest disc, and one Arrow kernel for an object and layer measures the union exactly for all radii. 0 without polygons.
-    """
-    radii = sorted(set(radii))
-    big = float(max(radii))
-    size = max(1_000.0, 2 * big)
-    g = geometry_edges(geometries.where(F.col("layer").isin(*layers)).select("layer", "wkt")).where("polygonal")
-    g = g.withColumn("__c", _cells(F.col("x0") - big, F.col("y0") - big, F.col("x1") + big, F.col("y1") + big, size)).withColumnRenamed("layer", "__layer")
-    o = apply_steps(objects.select("object_id", "lat", "lon"), utm_steps("lat", "lon")).withColumns({"__cx": F.floor(F.col("utm_x") / size), "__cy": F.floor(F.col("utm_y") / size)})
-    near = o.join(g, (F.col("__cx") == F.col("__c.cx")) & (F.col("__cy") == F.col("__c.cy")) & (F.col("utm_x") > F.col("x0") - big) & (F.col("utm_x") < F.col("x1") + big) & (F.col("utm_y") > F.col("y0") - big) & (F.col("utm_y") < F.col("y1") + big))
-    flat = F.flatten(F.transform("edges", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
-    # A fixed number of partitions: the kernel's work is out of proportion to the bytes by which Spark would merge them.
-    dealt = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "object_id", "__layer")
-    grouped = dealt.groupBy("object_id", F.col("__layer").alias("layer")).agg(F.first("utm_x").alias("x"), F.first("utm_y").alias("y"), F.collect_list(flat).alias("polygons"))
-
-    @F.pandas_udf("array<double>")
-    def shares(x: pd.Series, y: pd.Series, polygons: pd.Series) -> pd.Series:
-        out = []
-        for px, py, ps in zip(x, y, polygons, strict=True):
-            # Rings come as edges: each is an open ring of two corners, which parities of crossings don't mind.
-            parts = [list(np.asarray(p, float).reshape(-1, 2, 2)) for p in ps]
-            row = []
-            for r in radii:
-                window = kernels.disc(px, py, r)
-                covered = kernels.union_area_within(parts, window)
-                row.append(min(1.0, covered / abs(kernels.signed_area(window))))
-            out.append(row)
-        return pd.Series(out)
-
-    made = grouped.select("object_id", "layer", shares("x", "y", "polygons").alias("s"))
-    names = [(la, i, f"{la}_share_{r}m") for la in layers for i, r in enumerate(radii)]
-    wide = made.groupBy("object_id").agg(*[F.max(F.when(F.col("layer") == la, F.col("s")[i])).alias(n) for la, i, n in names])
-    return objects.drop(*[n for *_, n in names]).join(wide, "object_id", "left").na.fill(0.0, [n for *_, n in names])
-
-
 SHAPE = ["polygon_area_m2", "polygon_perimeter_m", "polygon_compactness", "polygon_convexity", "bbox_aspect_ratio", "polygon_orientation_deg", "polygon_n_vertices"]
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions.geo import EARTH_M, LAT_REF, apply_steps, center_steps, edge_m, haversine, hex_steps, steps_sql, utm_steps, with_cell
+from landgrid.functions.geo import EARTH_M, LAT_REF, apply_steps, center_steps, edge_m, haversine, hex_steps, steps_sql, utm_steps, with_cell, with_utm
 from landgrid.operators import hexgrid, objects
 from landgrid.plans import serving
 from landgrid.queries import REGISTRY
@@ -151,5 +151,5 @@ _UTM = utm_steps("lat", "lon")
 
 @REGISTRY.add("project_points", f"SELECT object_id, round(utm_x, 3) AS utm_x, round(utm_y, 3) AS utm_y, round(degrees(radians(lon)), 9) AS lon FROM {steps_sql(f'{OBJECTS} o', _UTM)} u")
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = apply_steps(sql(spark, sf_dir, OBJECTS), _UTM)
+    u = with_utm(sql(spark, sf_dir, OBJECTS))
     return u.select("object_id", F.round("utm_x", 3).alias("utm_x"), F.round("utm_y", 3).alias("utm_y"), F.round(F.degrees(F.radians("lon")), 9).alias("lon"))

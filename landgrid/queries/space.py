@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.functions.geo import haversine
-from landgrid.operators import graph, spatial
+from landgrid.operators import graph, layers, spatial
 from landgrid.operators import objects as objs
 from landgrid.queries import REGISTRY
 from landgrid.queries.data import ENTRANCES, OBJECTS, POINTS, STATIONS, sql, ways
@@ -76,7 +76,7 @@ _SQUARES = f"(SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'water' ELSE 'park' END AS
 @REGISTRY.add("area_shares")
 def area_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = sql(spark, sf_dir, OBJECTS).select("object_id", "lat", "lon")
-    return rounded(spatial.area_shares(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"], [100, 500]).drop("lat", "lon"))
+    return rounded(layers.area_shares(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"], [100, 500]).drop("lat", "lon"))
 
 
 @REGISTRY.add("geometry_distances")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgrid.functions import kernels
-from landgrid.functions.geo import apply_steps, center_steps, disk_offsets, hex_steps, utm_steps, with_cell
+from landgrid.functions.geo import apply_steps, center_steps, disk_offsets, hex_steps, utm_steps, with_cell, with_utm
 
 LAT, LON = 55.7887, 49.1221
 
@@ -56,16 +56,10 @@ def test_shapes():
     assert two[0] == 2 and two[6] == 9
 
 
-def test_union_area():
-    box = lambda a, b, c, d: [np.array([[a, b], [c, b], [c, d], [a, d], [a, b]], float)]
-    window = box(0, 0, 10, 10)[0]
-    assert kernels.union_area_within([box(0, 0, 10, 10)], window) == pytest.approx(100)
-    assert kernels.union_area_within([box(-5, -5, 5, 5), box(0, 0, 6, 6)], window) == pytest.approx(36)
-    assert kernels.union_area_within([box(20, 20, 30, 30)], window) == 0
-    hole = [*box(-1, -1, 11, 11), box(2, 2, 4, 4)[0][::-1]]
-    assert kernels.union_area_within([hole], window) == pytest.approx(96)
-    disc = kernels.disc(0, 0, 1)
-    assert abs(kernels.signed_area(disc)) == pytest.approx(16 * math.sin(math.pi / 16))
+def test_projections_agree(spark):
+    rows = spark.createDataFrame([(55.79, 49.1), (0.0, 51.0), (-33.0, 53.5), (70.0, 48.0)], "lat double, lon double")
+    for r in with_utm(rows).collect():
+        assert kernels.to_utm(np.array(r.lat), np.array(r.lon)) == pytest.approx((r.utm_x, r.utm_y), abs=1e-6)
 
 
 @pytest.mark.parametrize("wkt", ["POINT (1 2)", "LINESTRING (0 0, 1 1)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 0.5, 2 0.5, 2 1, 1 0.5))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"])

@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from landgrid.functions import discs
-from landgrid.operators import graph, radius, spatial
+from landgrid.functions import areas, discs, kernels
+from landgrid.functions.geo import with_utm
+from landgrid.operators import graph, layers, radius, spatial
 from tests.test_geo import LAT, LON, haversine
 
 DLAT, DLON = 1 / 111_194.9, 1 / (111_194.9 * math.cos(math.radians(LAT)))
@@ -100,10 +101,49 @@ def box(e0, n0, e1, n1):
     return "POLYGON ((" + ", ".join(f"{lo} {la}" for la, lo in c) + "))"
 
 
+def scanned(polygons, x, y, r, lines=3000):
+    """Area of the union of polygons in a disc of 32 corners, by the middles of thin lines."""
+    corners = [(math.sin(k * math.pi / 16) * r, math.cos(k * math.pi / 16) * r) for k in range(-8, 9)]
+    total, thick = 0.0, 2 * r / lines
+    for i in range(lines):
+        v = -r + (i + 0.5) * thick
+        half = float(np.interp(v, [c[0] for c in corners], [c[1] for c in corners]))
+        spans = []
+        for rings in polygons:
+            cross = sorted(x1 + (x2 - x1) * (v + y - y1) / (y2 - y1) - x for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False) if (y1 > v + y) != (y2 > v + y))
+            spans += [(max(-half, a), min(half, b)) for a, b in zip(cross[::2], cross[1::2], strict=True)]
+        reach = -half
+        for a, b in sorted(spans):
+            total += max(0.0, b - max(a, reach)) * thick
+            reach = max(reach, b)
+    return total
+
+
+@pytest.mark.parametrize("n", [1, 4, 25, 90])
+def test_outlines_of_unions_equal_scan_lines(n):
+    rng = np.random.default_rng(n)
+    polygons = []
+    for c in rng.uniform(0, 3000, (n, 2)):
+        t, d = np.sort(rng.uniform(0, 2 * math.pi, 8)), rng.uniform(50, 700, 8)
+        ring = c + np.stack([d * np.cos(t), d * np.sin(t)], 1)
+        polygons.append([np.vstack([ring, ring[:1]])])
+    polygons.append([np.array([[0, 0], [900, 0], [900, 900], [0, 900], [0, 0.0]]), np.array([[300, 300], [600, 300], [600, 600], [300, 600], [300, 300.0]])])
+    cells: dict = {}
+    for p in polygons:
+        for cx, cy, own in areas.by_cell(areas.upward(kernels.edges(p)), 1000.0):
+            cells.setdefault((cx, cy), []).append(own)
+    x, y = rng.uniform(0, 3000, (2, 6))
+    got = np.zeros(6)
+    for (cx, cy), own in cells.items():
+        owner = np.repeat(np.arange(len(own)), [len(p) for p in own])
+        got += areas.disc_areas(x, y, areas.outline(np.concatenate(own), owner, (cx * 1000.0, cy * 1000.0, cx * 1000.0 + 1000, cy * 1000.0 + 1000)), 400.0)
+    assert got == pytest.approx([scanned(polygons, a, b, 400.0) for a, b in zip(x, y, strict=True)], abs=100)
+
+
 def test_shares(spark):
     o = points(spark, [("a", 0, 0), ("far", 30_000, 0)])
     g = spark.createDataFrame([("water", box(-2000, -2000, 2000, 2000)), ("park", box(0, -2000, 2000, 2000)), ("park", box(0, -1000, 1000, 1000)), ("forest", "LINESTRING (49 55, 50 56)")], "layer string, wkt string")
-    r = {x.object_id: x for x in spatial.area_shares(o, g, ["water", "park", "forest", "none"], [100, 500]).collect()}
+    r = {x.object_id: x for x in layers.area_shares(o, g, ["water", "park", "forest", "none"], [100, 500]).collect()}
     assert r["a"].water_share_500m == pytest.approx(1.0) and r["a"].park_share_500m == pytest.approx(0.5, abs=0.01)
     assert r["a"].forest_share_500m == 0 and r["a"].none_share_100m == 0 and r["far"].water_share_500m == 0
 
