@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landgrid.functions import kernels
-from landgrid.functions.geo import EARTH_M, apply_steps, haversine_col, num, utm_steps
+from landgrid.functions.geo import EARTH_M, haversine_col, num
 from landgrid.operators.hexgrid import segments
 from landgrid.operators.radius import radius_totals
 from landgrid.scratch import cut
@@ -122,33 +122,6 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Colum
 EDGES = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
 
 
-def geometry_edges(geometries: DataFrame, wkt_col: str = "wkt") -> DataFrame:
-    """geometries (of degrees, as WKT) and edges in metres of the zone, whether they bound areas, and the box around them. A point is an edge
-    of length 0. Rows without geometry go."""
-    schema = T.StructType([*geometries.schema.fields, *T.StructType.fromDDL("polygonal boolean, flat array<struct<lon: double, lat: double, ring: int>>").fields])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            kinds, flats = [], []
-            for wkt in f[wkt_col]:
-                kind, parts = kernels.parse_wkt(wkt)
-                kinds.append("POLYGON" in kind)
-                flats.append([{"lon": float(x), "lat": float(y), "ring": i} for i, r in enumerate([r for p in parts for r in p]) for x, y in r] or None)
-            yield f.assign(polygonal=kinds, flat=flats)
-
-    flat = geometries.mapInPandas(run, schema).where("flat is not null")
-    keyed = flat.withColumn("__g", F.monotonically_increasing_id())
-    rows = apply_steps(keyed.select(*geometries.columns, "polygonal", "__g", F.posexplode("flat").alias("__at", "__v")).select("*", F.col("__v.lon").alias("__lon"), F.col("__v.lat").alias("__lat"), F.col("__v.ring").alias("__ring")).drop("__v"), utm_steps("__lat", "__lon"))
-    back = rows.groupBy("__g").agg(*[F.first(c).alias(c) for c in [*geometries.columns, "polygonal"]], F.array_sort(F.collect_list(F.struct(F.col("__at"), F.col("__ring").alias("ring"), F.col("utm_x").alias("x"), F.col("utm_y").alias("y")))).alias("p"))
-    p = F.col("p")
-    edge = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
-    pairs = F.when(F.size(p) > 1, F.filter(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.when(a["ring"] == b["ring"], edge(a, b))), lambda e: e.isNotNull()))
-    edges = F.when(F.coalesce(F.size(pairs), F.lit(0)) > 0, pairs).otherwise(F.transform(p, lambda a: edge(a, a)))
-    out = back.withColumn("edges", edges.cast(EDGES))
-    low = lambda a, b, agg: agg(F.concat(F.transform("edges", lambda e: e[a]), F.transform("edges", lambda e: e[b])))
-    return out.withColumns({"x0": low("x1", "x2", F.array_min), "y0": low("y1", "y2", F.array_min), "x1": low("x1", "x2", F.array_max), "y1": low("y1", "y2", F.array_max)}).drop("p", "__g")
-
-
 def inside(x: Column, y: Column, edges: Column, boundary: bool) -> Column:
     """Whether a point is inside closed rings, by the parity of crossings; points on an edge count as boundary says."""
     crossed = F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + F.coalesce(F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]), F.lit(0.0))))) % 2 == 1
@@ -197,46 +170,6 @@ def filter_inside(points: DataFrame, polygon_wkt: str) -> DataFrame:
     return points.where(box).where(inside(F.col("lon"), F.col("lat"), edges, boundary=False))
 
 
-def geometry_distances(objects: DataFrame, geometries: DataFrame, layers: list[str], first_m: float = 500.0, last_m: float = 200_000.0) -> DataFrame:
-    """objects and dist_to_{layer}_m: planar metres to the nearest geometry of each layer, 0 inside a polygon, null for a layer without any.
-
-    geometries: layer, wkt (degrees). Edges go to the cells within a radius of their box and objects to one cell; rows without a hit try a
-    radius four times as wide. Beyond last_m, distances are null.
-    """
-    g = cut(geometry_edges(geometries.where(F.col("layer").isin(*layers)).select("layer", "wkt")), "edges")
-    o = apply_steps(objects.select("object_id", "lat", "lon"), utm_steps("lat", "lon")).select("object_id", "utm_x", "utm_y")
-    have = [r.layer for r in g.select("layer").distinct().collect()]  # layers are named by the caller: few
-    todo = cut(o.where("utm_x is not null").withColumn("layer", F.explode(F.array(*map(F.lit, have)).cast("array<string>"))), "todo")
-    done, r = None, first_m
-    while have and r <= last_m:
-        e = g.select("layer", F.explode("edges").alias("e"))
-        e = e.withColumn("__c", _cells(F.least("e.x1", "e.x2") - r, F.least("e.y1", "e.y2") - r, F.greatest("e.x1", "e.x2") + r, F.greatest("e.y1", "e.y2") + r, r))
-        a = todo.withColumns({"__cx": F.floor(F.col("utm_x") / r), "__cy": F.floor(F.col("utm_y") / r)})
-        near = a.join(e.withColumnRenamed("layer", "__layer"), (F.col("layer") == F.col("__layer")) & (F.col("__cx") == F.col("__c.cx")) & (F.col("__cy") == F.col("__c.cy")))
-        ex, ey = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
-        t = F.coalesce(F.try_divide((F.col("utm_x") - F.col("e.x1")) * ex + (F.col("utm_y") - F.col("e.y1")) * ey, ex * ex + ey * ey), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        d = F.hypot(F.col("utm_x") - F.col("e.x1") - t * ex, F.col("utm_y") - F.col("e.y1") - t * ey)
-        found = near.groupBy("object_id", "layer").agg(F.min(d).alias("d")).where(F.col("d") < r)
-        if done is None:
-            poly = g.where("polygonal").withColumn("__c", _cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 2_000.0)).withColumnRenamed("layer", "__layer")
-            b = todo.withColumns({"__cx": F.floor(F.col("utm_x") / 2_000.0), "__cy": F.floor(F.col("utm_y") / 2_000.0)})
-            held = b.join(poly, (F.col("layer") == F.col("__layer")) & (F.col("__cx") == F.col("__c.cx")) & (F.col("__cy") == F.col("__c.cy")) & F.col("utm_x").between(F.col("x0"), F.col("x1")) & F.col("utm_y").between(F.col("y0"), F.col("y1")))
-            held = held.where(inside(F.col("utm_x"), F.col("utm_y"), F.col("edges"), True)).select("object_id", "layer", F.lit(0.0).alias("d"))
-            found = found.unionByName(held).groupBy("object_id", "layer").agg(F.min("d").alias("d"))
-        found = cut(found, "near")
-        done = found if done is None else done.unionByName(found)
-        todo = cut(todo.join(found.select("object_id", "layer"), ["object_id", "layer"], "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-        r *= 4
-    names = [f"dist_to_{la}_m" for la in layers]
-    if done is None:
-        return objects.drop(*names).withColumns({n: F.lit(None).cast("double") for n in names})
-    wide = done.groupBy("object_id").pivot("layer", layers).agg(F.min("d"))
-    return objects.drop(*names).join(wide.select("object_id", *[F.col(f"`{la}`").alias(n) for la, n in zip(layers, names, strict=True)]), "object_id", "left")
-
-
 SHAPE = ["polygon_area_m2", "polygon_perimeter_m", "polygon_compactness", "polygon_convexity", "bbox_aspect_ratio", "polygon_orientation_deg", "polygon_n_vertices"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.operators import graph, hexgrid, objects, registry, spatial
-from landgrid.operators.layers import area_shares
+from landgrid.operators.layers import area_shares, geometry_distances
 from landgrid.scratch import cut
 from landgrid.sources import readers, sinks
 
@@ -57,7 +57,7 @@ def object_features(rows: DataFrame, layers: Layers, settings: Settings = Settin
         o = spatial.zonal_counts(o, layers.points, list(s.point_layers), list(s.zonal_radii))
     if layers.geometries is not None:
         o = area_shares(o, layers.geometries, list(s.area_layers), list(s.share_radii))
-        o = spatial.geometry_distances(o, layers.geometries, list(s.distance_layers))
+        o = geometry_distances(o, layers.geometries, list(s.distance_layers))
     if layers.cadnum_index is not None and layers.mun_lookup is not None:
         held = spatial.districts_of(o, layers.districts) if layers.districts is not None else None
         o = registry.municipality_features(o, layers.cadnum_index, layers.mun_lookup, layers.object_params, held)

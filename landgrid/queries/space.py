@@ -82,7 +82,7 @@ def area_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("geometry_distances")
 def geometry_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = sql(spark, sf_dir, OBJECTS).select("object_id", "lat", "lon")
-    return rounded(spatial.geometry_distances(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"]).drop("lat", "lon"), 3)
+    return rounded(layers.geometry_distances(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"]).drop("lat", "lon"), 3)
 
 
 _SIDES = f"(SELECT object_id, CAST(10 + levels AS DOUBLE) AS w, CAST(40 + levels * 2 AS DOUBLE) AS h, levels FROM {OBJECTS} o)"

@@ -148,12 +148,57 @@ def test_shares(spark):
     assert r["a"].forest_share_500m == 0 and r["a"].none_share_100m == 0 and r["far"].water_share_500m == 0
 
 
+def test_distances_have_no_end(spark):
+    o = points(spark, [("a", 0, 0)])
+    g = spark.createDataFrame([("water", box(290_000, 0, 291_000, 1000)), ("line", "LINESTRING ({1} {0}, {3} {2})".format(*at(-40_000, -30_000), *at(40_000, 50_000)))], "layer string, wkt string")
+    r = layers.geometry_distances(o, g, ["water", "line"]).first()
+    (x, y), (x1, y1), (x2, y2) = (kernels.to_utm(*map(np.array, p)) for p in (at(0, 0), at(-40_000, -30_000), at(40_000, 50_000)))
+    assert r.dist_to_water_m == pytest.approx(290_000, rel=0.01)
+    assert r.dist_to_line_m == pytest.approx(abs((x2 - x1) * (y1 - y) - (x1 - x) * (y2 - y1)) / math.hypot(x2 - x1, y2 - y1), abs=1e-3)
+
+
+def brute_distance(x, y, polygons):
+    """To the nearest edge, 0 within; polygons as lists of rings."""
+    best = math.inf
+    for rings in polygons:
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+                odd ^= (y1 > y) != (y2 > y) and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+                l2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+                t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2)) if l2 else 0.0
+                best = min(best, math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+        best = 0.0 if odd else best
+    return best
+
+
+def test_distances_and_shares_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    star = lambda e, n, k: np.array([at(e + r * math.cos(t), n + r * math.sin(t)) for r, t in zip(rng.uniform(100, 900, k), np.sort(rng.uniform(0, 2 * math.pi, k)), strict=True)])
+    rings = [star(e, n, 7) for e, n in rng.uniform(-3000, 3000, (12, 2))]
+    rings = [np.vstack([r, r[:1]]) for r in rings]
+    g = spark.createDataFrame([("water", kernels.to_wkt("POLYGON", [[r[:, ::-1]]])) for r in rings], "layer string, wkt string")
+    o = points(spark, [(str(i), float(e), float(n)) for i, (e, n) in enumerate(rng.uniform(-4000, 4000, (40, 2)))])
+    flat = [[np.stack(kernels.to_utm(r[:, 0], r[:, 1]), 1)] for r in rings]
+    at_ = {r.object_id: (r.utm_x, r.utm_y) for r in with_utm(o).collect()}
+    got = {r.object_id: r.dist_to_water_m for r in layers.geometry_distances(o, g, ["water"]).collect()}
+    for i, (x, y) in at_.items():
+        assert got[i] == pytest.approx(brute_distance(x, y, flat), abs=1e-6)
+    shares = {r.object_id: (r.water_share_200m, r.water_share_700m) for r in layers.area_shares(o, g, ["water"], [200, 700]).collect()}
+    for i, (x, y) in at_.items():
+        assert shares[i] == pytest.approx([scanned(flat, x, y, r) / areas.disc_area(r) for r in (200.0, 700.0)], abs=2e-4)
+    monkeypatch.setattr(layers, "MOST_BYTES", 100)
+    monkeypatch.setattr(radius, "MOST_PLACES", 5)
+    again = {r.object_id: (r.water_share_200m, r.water_share_700m) for r in layers.area_shares(o, g, ["water"], [200, 700]).collect()}
+    assert all(again[i] == pytest.approx(shares[i], abs=1e-9) for i in at_)
+
+
 def test_distances(spark):
     o = points(spark, [("in", 0, 0), ("out", 700, 0)])
     line = "LINESTRING ({1} {0}, {3} {2})".format(*at(-100, 1000), *at(1000, 1000))
     point = "POINT ({1} {0})".format(*at(0, -5000))
     g = spark.createDataFrame([("water", box(-500, -500, 500, 500)), ("railway", line), ("school", point)], "layer string, wkt string")
-    r = {x.object_id: x for x in spatial.geometry_distances(o, g, ["water", "railway", "school", "none"]).collect()}
+    r = {x.object_id: x for x in layers.geometry_distances(o, g, ["water", "railway", "school", "none"]).collect()}
     assert r["in"].dist_to_water_m == 0 and r["out"].dist_to_water_m == pytest.approx(200, abs=1)
     assert r["in"].dist_to_railway_m == pytest.approx(1000, abs=3) and r["in"].dist_to_school_m == pytest.approx(5000, abs=15)
     assert r["in"].dist_to_none_m is None
