@@ -1,16 +1,16 @@
-"""Road graph: edges, snapping, shortest paths from a bounded set of targets."""
+"""Road graph: edges, snapping, shortest paths block by block."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.operators.hexgrid import segments
+from landgrid.operators.radius import tasks
 from landgrid.operators.spatial import nearest_points
 from landgrid.scratch import cut
 
@@ -34,101 +34,158 @@ def snapped(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return nearest_points(points, nodes, key, degrees2).select(key, F.col("r_lat").alias("node_lat"), F.col("r_lon").alias("node_lon"), F.col("distance_m").alias("snap_m"))
 
 
-#: Edges that are packed into one row (40 bytes each) for every task that searches; larger graphs are relaxed by joins.
-MOST_EDGES = 3_000_000
-
-
-class Graph:
-    """Undirected adjacency by node number; nodes are numbered in the order of their coordinates."""
-
-    def __init__(self, row) -> None:
-        ends = np.concatenate([np.stack([row.from_lat, row.from_lon], 1), np.stack([row.to_lat, row.to_lon], 1)])
-        self.nodes, number = np.unique(ends, axis=0, return_inverse=True)
-        n = len(row.length_m)
-        a, b = number[:n], number[n:]
-        source, to, length = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([row.length_m, row.length_m])
-        order = np.argsort(source, kind="stable")
-        self.first = np.searchsorted(source[order], np.arange(len(self.nodes) + 1)).tolist()
-        self.to, self.length = to[order].tolist(), length[order].tolist()
-        self.number = {tuple(c): i for i, c in enumerate(self.nodes.tolist())}
-
-    def search(self, starts: list[tuple[float, tuple[float, float]]], limit: float) -> pd.DataFrame:
-        """Least distances below limit from any of the starts (cost to begin, coordinates): lat, lon, path_m."""
-        best: dict[int, float] = {}
-        heap = [(d, self.number[c]) for d, c in starts]
+#: A block of the graph holds about so many directed edges (30 bytes each). Blocks are runs of cells of a square grid of so many bits a side.
+BLOCK_EDGES, BITS = 1 << 20, 10
+PATH = "block int, label string, limit_m double, lat double, lon double, path_m double"
+
+
+def _interleaved(x: Column, y: Column) -> Column:
+    """Bits of two numbers in turn: what is near on this curve is near on the plane."""
+
+    def apart(v: Column) -> Column:
+        for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
+
+    return apart(x).bitwiseOR(F.shiftleft(apart(y), 1))
+
+
+def _cell(box: dict[str, float], lat: str, lon: str) -> Column:
+    part = lambda c, low, up: F.floor((F.col(c) - low) / ((up - low) or 1.0) * (1 << BITS)).cast("int")
+    inside = lambda v: F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), v))
+    return _interleaved(inside(part(lon, box["w"], box["e"])), inside(part(lat, box["s"], box["n"])))
+
+
+def _pack(group: pa.Table) -> pa.Table:
+    """A block as one row: its nodes, sorted; edges within it and edges that leave it, by the node they start from."""
+    at = {c: group.column(c).to_numpy() for c in ("from_lat", "from_lon", "to_lat", "to_lon", "length_m", "to_block")}
+    start, end = at["from_lat"] + 1j * at["from_lon"], at["to_lat"] + 1j * at["to_lon"]
+    nodes, u = np.unique(start, return_inverse=True)
+    out = {"block": group.column("block").slice(0, 1), "nodes": nodes}
+    stays = at["to_block"] == group.column("block")[0].as_py()
+    for name, those in (("in", stays), ("out", ~stays)):
+        order = np.flatnonzero(those)[np.argsort(u[those], kind="stable")]
+        out[f"{name}_first"] = np.searchsorted(u[order], np.arange(len(nodes) + 1)).astype(np.int32)
+        out[f"{name}_length"] = at["length_m"][order]
+        out[f"{name}_to"] = np.searchsorted(nodes, end[order]).astype(np.int32) if name == "in" else end[order]
+        if name == "out":
+            out["out_block"] = at["to_block"][order].astype(np.int32)
+    return pa.table({k: v if k == "block" else pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in out.items()})
+
+
+PACKED = {"nodes": np.complex128, "in_first": np.int32, "in_length": np.float64, "in_to": np.int32, "out_first": np.int32, "out_length": np.float64, "out_to": np.complex128, "out_block": np.int32}
+
+
+def _ranges(first: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the edges of nodes u, and which of u each is from."""
+    n = first[u + 1] - first[u]
+    return np.arange(n.sum()) + np.repeat(first[u] - (np.cumsum(n) - n), n), np.repeat(np.arange(len(u)), n)
+
+
+def _advance(graph: pa.Table, paths: pa.Table) -> pa.Table:
+    """Shorter paths within a block from those that came in (fresh), and what they send to other blocks (block is theirs, sent is true)."""
+    empty = pa.table({"block": pa.array([], pa.int32()), "label": pa.array([], pa.string()), **{c: pa.array([], pa.float64()) for c in ("limit_m", "lat", "lon", "path_m")}, "sent": pa.array([], pa.bool_())})
+    if not len(graph) or not len(paths):
+        return empty
+    g = {k: np.frombuffer(graph.column(k)[0].as_py(), t) for k, t in PACKED.items()}
+    block = graph.column("block")[0].as_py()
+    first, to, length = g["in_first"].tolist(), g["in_to"].tolist(), g["in_length"].tolist()
+    at = paths.column("lat").to_numpy() + 1j * paths.column("lon").to_numpy()
+    node = np.minimum(np.searchsorted(g["nodes"], at), len(g["nodes"]) - 1)
+    known = g["nodes"][node] == at
+    paths, node = paths.filter(pa.array(known)), node[known]
+    names, label = np.unique(paths.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    cost, limits, fresh = paths.column("path_m").to_numpy(), paths.column("limit_m").to_numpy(), paths.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.lexsort((cost, label))
+    cuts = np.searchsorted(label[order], np.arange(len(names) + 1))
+    made = [empty]
+    for i, name in enumerate(names):
+        own = order[cuts[i] : cuts[i + 1]]
+        limit, best, heap, better = float(limits[own[0]]), {}, [], {}
+        for v, d, new in zip(node[own].tolist(), cost[own].tolist(), fresh[own].tolist(), strict=True):
+            if new and d < limit:
+                heap.append((d, v))
+            elif not new:
+                best.setdefault(v, d)
         heapq.heapify(heap)
         while heap:
-            d, node = heapq.heappop(heap)
-            if node in best:
+            d, v = heapq.heappop(heap)
+            if d >= best.get(v, limit):
                 continue
-            best[node] = d
-            for i in range(self.first[node], self.first[node + 1]):
-                far = d + self.length[i]
-                if far < limit and self.to[i] not in best:
-                    heapq.heappush(heap, (far, self.to[i]))
-        at = self.nodes[list(best)] if best else np.zeros((0, 2))
-        return pd.DataFrame({"lat": at[:, 0], "lon": at[:, 1], "path_m": list(best.values())})
-
-
-def _packed(edges: DataFrame) -> DataFrame:
-    """The graph as one row of arrays; of several edges between two nodes the shortest counts."""
-    flat = edges.groupBy("from_lat", "from_lon", "to_lat", "to_lon").agg(F.min("length_m").alias("length_m"))
-    one = flat.agg(F.collect_list(F.struct("from_lat", "from_lon", "to_lat", "to_lon", "length_m")).alias("e"))
-    return one.select(*[F.col(f"e.{c}").alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon", "length_m")])
+            best[v] = better[v] = d
+            for e in range(first[v], first[v + 1]):
+                far = d + length[e]
+                if far < best.get(to[e], limit):
+                    heapq.heappush(heap, (far, to[e]))
+        if not better:
+            continue
+        u, d = np.fromiter(better, np.int64, len(better)), np.fromiter(better.values(), float, len(better))
+        e, who = _ranges(g["out_first"], u)
+        far = d[who] + g["out_length"][e]
+        e, far = e[far < limit], far[far < limit]
+        by = np.lexsort((far, g["out_to"][e]))
+        e, far = e[by], far[by]
+        one = np.concatenate([[True], g["out_to"][e][1:] != g["out_to"][e][:-1]]) if len(e) else np.zeros(0, bool)
+        e, far = e[one], far[one]
+        where = np.concatenate([g["nodes"][u], g["out_to"][e]])
+        n = len(where)
+        made.append(pa.table({"block": pa.array(np.concatenate([np.full(len(u), block, np.int32), g["out_block"][e]])), "label": pa.array([name] * n, pa.string()), "limit_m": np.full(n, limit), "lat": where.real.copy(), "lon": where.imag.copy(), "path_m": np.concatenate([d, far]), "sent": np.arange(n) >= len(u)}))
+    return pa.concat_tables(made)
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(label, lat, lon, path_m): least path by undirected edges from any start of a label to each node nearer than the label's limit.
+
+    starts: label, limit_m, lat, lon, path_m (what it costs to begin). The graph is cut into blocks of about BLOCK_EDGES edges that lie
+    together; in each round every block that something came in for searches on from there, and sends what leaves it to other blocks, until
+    nothing does. A path takes as many rounds as it changes blocks. Rounds are written to the shared folder.
+    """
+    ends = edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m").where("length_m is not null and (from_lat <> to_lat or from_lon <> to_lon)")
+    both = cut(ends.union(ends.select("to_lat", "to_lon", "from_lat", "from_lon", "length_m")), "both")
+    least = starts.groupBy("label", "limit_m", "lat", "lon").agg(F.min("path_m").alias("path_m")).where("path_m < limit_m")
+    least = cut(least, "starts")
+    r = both.agg(F.min("from_lat").alias("s"), F.max("from_lat").alias("n"), F.min("from_lon").alias("w"), F.max("from_lon").alias("e")).first()
+    names = ["label", "lat", "lon", "path_m"]
+    if r.s is None:
+        return least.select(*names)
+    box = r.asDict()
+    # At most 4**BITS cells: small enough for one window and for a broadcast.
+    cells = both.groupBy(_cell(box, "from_lat", "from_lon").alias("cell")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cut(cells.select("cell", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_EDGES).cast("int").alias("block")), "blocks")
+
+    def blocked(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+        return df.withColumn("__c", _cell(box, lat, lon)).join(F.broadcast(cells.select(F.col("cell").alias("__c"), F.col("block").alias(name))), "__c").drop("__c")
+
+    n = tasks(both)
+    packed = ", ".join(f"{k} binary" for k in PACKED)
+    graph = blocked(blocked(both, "from_lat", "from_lon", "block"), "to_lat", "to_lon", "to_block")
+    graph = cut(graph.repartition(n, "block").groupBy("block").applyInArrow(_pack, f"block int, {packed}"), "graph")
+    found, sent = None, blocked(least, "lat", "lon", "block")
+    while True:
+        fresh = sent.select(*PATH_NAMES, F.lit(True).alias("fresh"))
+        paths = fresh if found is None else fresh.unionByName(found.join(F.broadcast(sent.select("block").distinct()), "block", "left_semi").select(*PATH_NAMES, F.lit(False).alias("fresh")))
+        left, right = graph.repartition(n, "block").groupBy("block"), paths.repartition(n, "block").groupBy("block")
+        step = cut(left.cogroup(right).applyInArrow(_advance, PATH + ", sent boolean"), "step")
+        better = step.where("not sent").select(*PATH_NAMES)
+        found = better if found is None else found.unionByName(better)
+        found = cut(found.groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m")), "found")
+        sent = step.where("sent").groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m"))
+        if step.where("sent").isEmpty():
+            break
+    # A start that no edge touches reaches itself.
+    return found.select(*names).union(least.select(*names)).groupBy("label", "lat", "lon").agg(F.min("path_m").alias("path_m"))
+
+
+PATH_NAMES = [c.split()[0] for c in PATH.split(", ")]
 
 
 def target_distances(edges: DataFrame, targets: DataFrame, limit_m: float = float("inf")) -> DataFrame:
     """(target, lat, lon, path_m) for every node that a target (target, node_lat, node_lon, snap_m) reaches by undirected edges within
-    limit_m; path_m includes the target's snap.
-
-    Targets are spread over the tasks, one search each; the graph goes to every task that has one. This suits road graphs of one
-    metropolitan area (10^5 to 10^6 edges) and few targets; many objects then only look up their node. Graphs of more than MOST_EDGES, as
-    counted, are relaxed instead.
-    """
-    if edges.count() > MOST_EDGES:
-        return relaxed(edges, targets.select("target", F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"), F.col("snap_m").alias("path_m")), limit_m)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = None
-        for f in frames:
-            for row in f.itertuples(index=False):
-                graph = graph or Graph(row)
-                found = graph.search([(row.snap_m, (row.node_lat, row.node_lon))], limit_m)
-                found.insert(0, "target", row.target)
-                yield found
-
-    sent = targets.repartition(targets.sparkSession.sparkContext.defaultParallelism, "target").crossJoin(F.broadcast(_packed(edges)))
-    return sent.mapInPandas(run, f"target {targets.schema['target'].dataType.simpleString()}, lat double, lon double, path_m double")
-
-
-def nearest_target(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(lat, lon, path_m): each reached node's least distance to any target, by one search that starts from all of them."""
-    if edges.count() > MOST_EDGES:
-        starts = targets.groupBy(F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon")).agg(F.min("snap_m").alias("path_m"))
-        return relaxed(edges, starts.withColumn("target", F.lit(0)), float("inf")).drop("target")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                yield Graph(row).search([(t["snap_m"], (t["node_lat"], t["node_lon"])) for t in row.targets], float("inf"))
-
-    ends = targets.agg(F.collect_list(F.struct("node_lat", "node_lon", "snap_m")).alias("targets"))
-    return ends.crossJoin(F.broadcast(_packed(edges))).mapInPandas(run, "lat double, lon double, path_m double")
-
-
-def relaxed(edges: DataFrame, starts: DataFrame, limit_m: float) -> DataFrame:
-    """(target, lat, lon, path_m) from starts of that shape, by joining the nodes that got nearer with their edges until none does: as many
-    rounds as a shortest path has edges, each written out, for graphs that fit no single task."""
-    one = edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m")
-    both = cut(one.union(one.select("to_lat", "to_lon", "from_lat", "from_lon", "length_m")), "both")
-    keys = ["target", "lat", "lon"]
-    best = fresh = cut(starts.groupBy(*keys).agg(F.min("path_m").alias("path_m")), "best")
-    while not fresh.isEmpty():
-        step = fresh.join(both, (F.col("lat") == F.col("from_lat")) & (F.col("lon") == F.col("from_lon"))).select("target", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), (F.col("path_m") + F.col("length_m")).alias("path_m"))
-        step = step.where(F.col("path_m") < limit_m).groupBy(*keys).agg(F.min("path_m").alias("path_m"))
-        fresh = cut(step.join(best.withColumnRenamed("path_m", "__old"), keys, "left").where("__old is null or path_m < __old").drop("__old"), "fresh")
-        best = cut(best.unionByName(fresh).groupBy(*keys).agg(F.min("path_m").alias("path_m")), "best")
-    return best
+    limit_m; path_m includes the target's snap. Edges as long as the limit or longer are left out."""
+    starts = targets.select(F.col("target").cast("string").alias("label"), F.lit(float(limit_m)).alias("limit_m"), F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"), F.col("snap_m").alias("path_m"))
+    found = shortest_paths(edges.where(F.col("length_m") < limit_m), starts)
+    return found.select(F.col("label").cast(targets.schema["target"].dataType).alias("target"), "lat", "lon", "path_m")
 
 
 def graph_distances(objects: DataFrame, edges: DataFrame, targets: DataFrame, limit_m: float = float("inf")) -> DataFrame:
@@ -144,14 +201,24 @@ def _joined(at: DataFrame, reach: DataFrame) -> DataFrame:
 def metro_by_graph(objects: DataFrame, edges: DataFrame, stations: DataFrame, entrances: DataFrame) -> DataFrame:
     """objects with graph distances to the nearest station and entrance (1e9 if none is reached), and how many are nearer than 1 km and 500 m.
 
-    Distances to the nearest come from one search for all targets, counts from a search for each that ends at the radius.
+    Distances to the nearest come from one search with two labels, counts from a search with a label for each target that ends at its
+    radius, over edges shorter than that.
     """
     out = objects.drop("dist_metro_m", "dist_entrance_m", "count_stations_1km", "count_entrances_500m")
+    edges = cut(edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m"), "edges")
     nodes = cut(graph_nodes(edges), "nodes")
     at = snapped(objects.select("object_id", "lat", "lon"), nodes, "object_id")
-    for points, dist, count, near in ((stations, "dist_metro_m", "count_stations_1km", 1000.0), (entrances, "dist_entrance_m", "count_entrances_500m", 500.0)):
-        ends = snapped(points.select("target", "lat", "lon"), nodes, "target")
-        least = _joined(at, nearest_target(edges, ends)).groupBy("object_id").agg(F.min("distance_m").alias(dist))
-        close = _joined(at, target_distances(edges, ends, near)).groupBy("object_id").agg(F.count_if(F.col("distance_m") < near).alias(count))
-        out = out.join(least, "object_id", "left").join(close, "object_id", "left").na.fill({dist: UNREACHED_M, count: 0})
-    return out
+    kinds = (("s", stations, "dist_metro_m", "count_stations_1km", 1000.0), ("e", entrances, "dist_entrance_m", "count_entrances_500m", 500.0))
+    ends = None
+    for kind, points, _, _, near in kinds:
+        own = snapped(points.select(F.col("target").cast("string").alias("target"), "lat", "lon"), nodes, "target")
+        own = own.select(F.lit(kind).alias("kind"), F.concat(F.lit(kind), "target").alias("target"), F.lit(near).alias("near"), F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"), F.col("snap_m").alias("path_m"))
+        ends = own if ends is None else ends.unionByName(own)
+    least = shortest_paths(edges, ends.select(F.col("kind").alias("label"), F.lit(float("inf")).alias("limit_m"), "lat", "lon", "path_m"))
+    close = shortest_paths(edges.where(F.col("length_m") < max(k[-1] for k in kinds)), ends.select(F.col("target").alias("label"), F.col("near").alias("limit_m"), "lat", "lon", "path_m"))
+    first = lambda k: F.min(F.when(F.col("label") == k, F.col("distance_m")))
+    least = _joined(at, least).groupBy("object_id").agg(*[first(k).alias(dist) for k, _, dist, _, _ in kinds])
+    within = lambda k, near: F.count_if((F.substring("label", 1, 1) == k) & (F.col("distance_m") < near))
+    close = _joined(at, close).groupBy("object_id").agg(*[within(k, near).alias(count) for k, _, _, count, near in kinds])
+    out = out.join(least, "object_id", "left").join(close, "object_id", "left")
+    return out.na.fill({"dist_metro_m": UNREACHED_M, "dist_entrance_m": UNREACHED_M, "count_stations_1km": 0, "count_entrances_500m": 0})

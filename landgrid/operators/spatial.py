@@ -91,7 +91,7 @@ def road_length(objects: DataFrame, ways: DataFrame, radius_m: float = 500.0) ->
     return objects.drop("road_length_500m").join(sums, "object_id", "left").na.fill(0.0, ["road_length_500m"])
 
 
-def nearest_points(left: DataFrame, right: DataFrame, key: str, order: Column | None = None, first_m: float = 250.0, factor: float = 4.0) -> DataFrame:
+def nearest_points(left: DataFrame, right: DataFrame, key: str, order: Column | None = None, first_m: float = 62.5, factor: float = 4.0) -> DataFrame:
     """(key, r_..., distance_m): for each row of left the nearest of right, by order if given (over the pair's columns), else by distance.
 
     Rings: rows that find a point within a radius are done; the others try the next, four times as wide. As what is found within a radius

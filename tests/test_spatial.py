@@ -224,16 +224,27 @@ def test_graph_detour_and_unreached(spark):
     assert r["lost"].dist_metro_m == 1e9 and r["lost"].count_stations_1km == 0
 
 
-def test_large_graphs_are_relaxed_to_the_same_distances(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1 << 20, 6])
+def test_paths_equal_relaxing_all_edges(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK_EDGES", block)
     rng = np.random.default_rng(9)
     at_ = [at(float(x), float(y)) for x, y in rng.uniform(0, 3000, (40, 2))]
-    ways = spark.createDataFrame([([{"lat": at_[i][0], "lon": at_[i][1]} for i in rng.integers(0, 40, 3)],) for _ in range(30)], "geometry array<struct<lat: double, lon: double>>")
-    o = points(spark, [(str(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3000, (25, 2)))])
-    stations = spark.createDataFrame([(str(i), *at_[i]) for i in range(5)], "target string, lat double, lon double")
-    rows = lambda: [(r.object_id, round(r.dist_metro_m, 6), r.count_stations_1km) for r in graph.metro_by_graph(o, graph.road_edges(ways), stations, stations).orderBy("object_id").collect()]
-    packed = rows()
-    monkeypatch.setattr(graph, "MOST_EDGES", 0)
-    assert rows() == packed
+    ends = [(int(a), int(b)) for a, b in rng.integers(0, 40, (70, 2)) if a != b]
+    edges = [(i, j, haversine(*at_[i], *at_[j])) for i, j in ends]
+    df = spark.createDataFrame([(*at_[i], *at_[j], d) for i, j, d in edges], "from_lat double, from_lon double, to_lat double, to_lon double, length_m double")
+    starts = [("s", math.inf, 0, 5.0), ("s", math.inf, 1, 0.0), ("t", 900.0, 2, 10.0), ("u", 900.0, 3, 0.0), ("u", 900.0, 3, 40.0)]
+    got = {(r.label, r.lat, r.lon): r.path_m for r in graph.shortest_paths(df, spark.createDataFrame([(k, lim, *at_[i], d) for k, lim, i, d in starts], "label string, limit_m double, lat double, lon double, path_m double")).collect()}
+    want: dict = {}
+    for k, lim, i, d in starts:
+        want[k, i] = min(d, want.get((k, i), math.inf))
+    limit = {k: lim for k, lim, *_ in starts}
+    for _ in range(40):
+        for (k, i), d in list(want.items()):
+            for a, b, n in edges:
+                for x, y in ((a, b), (b, a)):
+                    if x == i and d + n < min(limit[k], want.get((k, y), math.inf)):
+                        want[k, y] = d + n
+    assert {k: round(v, 6) for k, v in got.items()} == {(k, *at_[i]): round(v, 6) for (k, i), v in want.items()}
 
 
 def test_many_stations_are_joined_to_the_same_features(spark, monkeypatch):
