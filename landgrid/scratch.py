@@ -24,9 +24,11 @@ def _sweep() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (one machine)."""
+    """spark.checkpoint.dir, or a temporary folder where that is unset and all runs on one machine; elsewhere it must be set."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="landgrid-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")

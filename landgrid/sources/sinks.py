@@ -65,9 +65,14 @@ def log_run(spark: SparkSession, base: str, run_name: str, params: dict, metrics
     return path
 
 
+MOST_REPORTED = 1_000
+
+
 def write_report(df: DataFrame, path: str) -> str:
-    """A report as CSV, and as a Markdown table, which is returned; for reports of a few rows."""
+    """A report as CSV, and as a Markdown table, which is returned; for reports of a few rows. ValueError for more than MOST_REPORTED."""
+    rows = df.limit(MOST_REPORTED + 1).collect()
+    if len(rows) > MOST_REPORTED:
+        raise ValueError(f"a report has at most {MOST_REPORTED} rows")
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
-    rows = df.limit(1_000).collect()
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
