@@ -72,8 +72,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("matches", lambda m: m["base"])
     starts = F.transform(base, lambda m: m["start"])
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda m: m["label"]))), ",")
-    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0))
-    return out.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"), listed(F.filter("matches", lambda m: m["found"])).alias("labels"), score.alias("score"))
+    best = lambda a: F.coalesce(F.array_max(F.transform(a, lambda m: m["coverage"])), F.lit(0.0))
+    found = F.filter("matches", lambda m: m["found"])
+    # What isn't found scores below all that is.
+    score = F.when(F.size(found) > 0, best(found)).otherwise(best("matches") / 2)
+    return out.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"), listed(found).alias("labels"), score.alias("score"))
 
 
 #: The id that no pre-token encodes to.
