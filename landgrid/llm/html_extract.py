@@ -43,12 +43,15 @@ SIGN_OF = {w: i for i, ws in enumerate(SIGNS.values()) for w in ws.split()}
 KINDS = [{"article", "main"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "label", "legend"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "dd"}, {"ul", "ol", "dl"}, {"div"}, {"section"}, {"td", "th", "tr", "table"}, {"#text"}]
 KIND_OF = {t: i for i, ts in enumerate(KINDS) for t in ts}
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 ENDING = re.compile(r"[.!?…:;,]")
 SPACE = re.compile(r"\s+")
+#: Elements that lie deeper than this aren't opened; what they hold belongs to the last one that is.
+DEEPEST = 512
 
 
 class Node:
@@ -74,13 +77,60 @@ def _signs(attributes: str) -> int:
     return out
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of every tag; comments and declarations have no name. A tag ends with the first >
+    outside quotes; a < that has none is text. In time linear in the page: where no > follows none is sought again, and a quote that led
+    a tag to no end is remembered."""
+    at, last, special, hopeless = 0, page.rfind(">"), -1, set()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+            continue
+        if at > last:
+            at += 1
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+            at = end
+            continue
+        m = NAME.match(page, at)
+        if not m:
+            at += 1
+            continue
+        where, tried, end = m.end(), [], -1
+        while where <= last:
+            if special < where:
+                special = SPECIAL.search(page, where).start()
+            if page[special] == ">":
+                end = special
+                break
+            close = -1 if special in hopeless else page.find(page[special], special + 1)
+            tried.append(special)
+            if close < 0:
+                break
+            where = close + 1
+        if end < 0:
+            hopeless.update(tried)
+            # Later tags begin their search before the places that this one has reached.
+            special = tried[0] if tried else special
+            at += 1
+            continue
+        yield at, end + 1, m[1], m[2].lower(), page[m.end() : end]
+        at = end + 1
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Never fails: ends that nothing opened are skipped, what is left open ends with the page, and a < that begins no
     tag is text. Elements that show no text, and hidden ones, hold none. A head without an end goes to the body's start, or to the first
-    text or element that no head may hold."""
+    text or element that no head may hold. Elements beyond DEEPEST levels aren't opened, so that time is linear in the page."""
     root = Node("html", None)
     stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stand for the block that holds them
     at, in_link = 0, 0
+    held: dict[str, int] = {}  # open elements by name
 
     def leave_head() -> None:
         for i, (tag, _) in enumerate(stack):
@@ -106,18 +156,27 @@ def parse(page: str) -> Node:
         nonlocal in_link
         for tag, _ in stack[i:]:
             in_link -= tag == "a"
+            held[tag] -= 1
         del stack[i:]
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
+    def push(tag: str, node: Node) -> None:
+        nonlocal in_link
+        if len(stack) < DEEPEST:
+            stack.append((tag, node))
+            held[tag] = held.get(tag, 0) + 1
+            in_link += tag == "a"
+
+    for start, end, closing, tag, attributes in tags(page):
+        if start < at:
             continue
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            put(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
+            if not held.get(tag):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -125,13 +184,13 @@ def parse(page: str) -> Node:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
-        if stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and all(t != "template" for t, _ in stack):
+        if held.get("head") and (stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and not held.get("template")):
             leave_head()
         if tag in ("html", "body"):
-            stack[0][1].signs |= _signs(m[3])
+            stack[0][1].signs |= _signs(attributes)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if held.get("p") else 0, 0, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
@@ -150,23 +209,22 @@ def parse(page: str) -> Node:
         if tag in ("br", "hr", "img", "wbr"):
             put(" " if tag == "br" else "")
         if tag in INLINE:
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+            if tag not in VOID and not attributes.endswith("/"):
+                push(tag, stack[-1][1])
                 if tag == "a":
-                    in_link += 1
                     if stack[-1][1].children and stack[-1][1].children[-1].tag == "#text":
                         stack[-1][1].children[-1].links += 1
             continue
         holder = stack[-1][1]
-        node = Node(tag, holder, _signs(m[3]), holder.gone or tag in NO_TEXT or bool(HIDDEN.search(m[3])))
+        node = Node(tag, holder, _signs(attributes), holder.gone or tag in NO_TEXT or bool(HIDDEN.search(attributes)))
         holder.children.append(node)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, node))
+        push(tag, node)
     put(page[at:])
     return root
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,6 +115,13 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.extract([page], html_extract.fitted())[0], str)
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, '<a "' * 250_000, '<a ">" ' * 150_000 + '"', "<" * 1_000_000, "<!x" * 300_000, "<div>x" * 160_000, "<a '\"" * 200_000 + ">"])
+def test_broken_pages_of_a_megabyte_are_parsed_at_once(page):
+    start = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - start < 10  # seconds where time grew with the square of the page: minutes
+
+
 def test_article_text(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now.</div><article><h1>Head &amp; tail</h1><p>One  two\nthree, four five six.<br>More words follow here.<p>Second paragraph has several words too, as texts do.</article><aside class='sidebar'><h3>Popular</h3><a href='/x'>Link</a></aside><section id='comments'><h2>Comments</h2><p>I like this text a lot, thank you.</p></section><footer>&copy; all</footer><script>var a = '<p>';</script></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, "v", None), (3, None, "")], "page_id long, url string, html string")
