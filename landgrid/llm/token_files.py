@@ -12,10 +12,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landgrid.llm.common import rows_at_a_time, small_batches
+from landgrid.llm.common import cut, rows_at_a_time, small_batches
 
 #: Schemes whose files workers read by range themselves; files of others come through Spark's own reader.
-RANGED = ("file", "hdfs", "s3", "gs", "gcs")
+RANGED = ("file", "hdfs", "s3", "s3a", "gs", "gcs")
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -117,9 +117,14 @@ def token_counts(spark: SparkSession, folder: str, separator: int, dtype: str =
         blocks = cuts.repartition("path", "block").mapInArrow(_read_ranges(block_bytes, width, dtype, separator), BLOCK)
     else:
         blocks = files.select(file, "content").mapInArrow(_read_whole(block_bytes, width, dtype, separator), BLOCK)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # The scan sees a few numbers a block; the counts within blocks wait for it in the shared folder.
+    blocks = cut(blocks, "blocks")
     seps = F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.size("inner") + 1)
-    scan = blocks.withColumns({"began": F.coalesce(F.max("last").over(before) + 1, F.lit(0)), "done": F.coalesce(F.sum(seps).over(before), F.lit(0)), "final": F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()})
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    few = blocks.select("file", "block", "last", seps.alias("seps"))
+    few = few.select("file", "block", F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("began"), F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("done"), F.lead("block").over(order).isNull().alias("final"))
+    scan = blocks.join(few, ["file", "block"])
     counts = F.when(F.col("first").isNull(), F.array().cast("array<bigint>")).otherwise(F.concat(F.array(F.col("first") - F.col("began")), F.col("inner")))
     rows = scan.select("file", "done", "began", F.posexplode(counts).alias("i", "n_tokens"))
     ended = rows.select("file", (F.col("done") + F.col("i")).cast("bigint").alias("ordinal"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.lit(True).alias("ended"))
