@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landgrid.llm.common import bounded, connected_components, cut, salted_totals
 
@@ -252,7 +253,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 12,
     these all pairs are compared in blocks, so that runs of near vectors longer than a window lose no link.
     """
     none = -(2**63)
-    ids = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(none)).alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    ids = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(none)).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    if not isinstance(vectors.schema[label_col].dataType, T.IntegralType):  # others are numbered, as equal as their kind has it
+        numbers = cut(ids.where("label is not null").select(F.col("label").alias("named")).distinct().withColumn("number", F.monotonically_increasing_id()), "labels")
+        ids = ids.join(numbers, F.col("label") == F.col("named"), "left").select("id", F.col("number").alias("label"), "v")
+    ids = ids.withColumn("label", F.col("label").cast("bigint"))
     unit = cut(ids.where("label is not null and v is not null").mapInArrow(_unit, "id bigint, label bigint, dim int, vec binary"), "unit")
     same = cut(salted_totals(unit, ["label", "vec"], F.col("id"), {"rep": F.min("id"), "copies": F.count("*")}, {"rep": F.min("rep"), "copies": F.sum("copies")}).select("id", "label", "dim", "vec", "rep", "copies"), "same")
     reps = cut(same.where("id = rep").dropDuplicates(["rep", "label", "vec"]).select("id", "label", "dim", "vec", "copies"), "reps")
