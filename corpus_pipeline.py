@@ -27,10 +27,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by Jaccard similarities of 0.8 or more on five-word shingles the one with the smallest id."""
-    joined = ngram_join.jaccard_join(docs)
-    gone = cut(joined.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(bounded(gone, gone.count(), 16), docs.doc_id == gone["__gone"], "left_anti")
+    """Of documents that hang together by Jaccard similarities of 0.8 or more on five-word shingles the one with the smallest id; null ids
+    are larger than any. Rows are compared under numbers of their own, so that documents that share an id, or have none, are told apart."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    joined = cut(ngram_join.jaccard_join(rows.select("__row", "text"), id_col="__row").select("__row", "class_id"), "classes")
+    named = joined.join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    several = named.groupBy("class_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = several.select(F.col("class_id").alias("__class"), F.col("first.__row").alias("__stays"))
+    gone = cut(joined.join(several, F.col("class_id") == F.col("__class")).where("__row <> __stays").select(F.col("__row").alias("__gone")), "gone")
+    return rows.join(bounded(gone, gone.count(), 16), rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
