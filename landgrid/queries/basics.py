@@ -128,7 +128,10 @@ def hex_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.groupBy("resolution").agg(F.sum("count").alias("objects"), F.count("*").alias("rows"))
 
 
-@REGISTRY.add("feature_matrix_columns")
+_COLUMNS = f"SELECT column_name AS name, CASE WHEN column_type = 'VARCHAR' THEN 'category' ELSE 'number' END AS kind FROM (DESCRIBE SELECT * FROM {OBJECTS} o) d WHERE column_name NOT IN ('object_id', 'asset_class', 'lat', 'lon', 'synthetic_target_rub_per_m2')"
+
+
+@REGISTRY.add("feature_matrix_columns", _COLUMNS)
 def feature_matrix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric, categorical = mlf.feature_columns(sql(spark, sf_dir, OBJECTS))
     return spark.createDataFrame([(c, "number") for c in numeric] + [(c, "category") for c in categorical], "name string, kind string")

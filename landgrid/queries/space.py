@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions.geo import haversine
+from landgrid.functions.geo import haversine, steps_sql, utm_steps
 from landgrid.operators import graph, layers, spatial
 from landgrid.operators import objects as objs
 from landgrid.queries import REGISTRY
@@ -79,7 +79,19 @@ def area_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layers.area_shares(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"], [100, 500]).drop("lat", "lon"))
 
 
-@REGISTRY.add("geometry_distances")
+def _distances_sql() -> str:
+    """Every object against every side of every square, projected; 0 where it is on the same side of all four."""
+    objects = steps_sql(f"(SELECT object_id, lat, lon FROM {OBJECTS} o)", utm_steps("lat", "lon"))
+    corners = f"(SELECT target, k, lat + CASE WHEN k < 2 THEN -{_HALF} ELSE {_HALF} END AS lat, lon + CASE WHEN k IN (0, 3) THEN -{_HALF} ELSE {_HALF} END AS lon FROM {STATIONS} s CROSS JOIN range(4) g(k))"
+    projected = steps_sql(corners, utm_steps("lat", "lon"))
+    return f"""WITH o AS MATERIALIZED (SELECT object_id, utm_x AS x, utm_y AS y FROM {objects} p), c AS MATERIALIZED (SELECT target, k, utm_x AS x, utm_y AS y FROM {projected} q),
+e AS (SELECT a.target, CASE WHEN CAST(a.target AS BIGINT) % 2 = 0 THEN 'water' ELSE 'park' END AS layer, a.x AS x1, a.y AS y1, b.x - a.x AS ex, b.y - a.y AS ey FROM c a JOIN c b ON a.target = b.target AND b.k = (a.k + 1) % 4),
+d AS (SELECT object_id, layer, target, x - x1 AS px, y - y1 AS py, ex, ey, greatest(0.0, least(1.0, ((x - x1) * ex + (y - y1) * ey) / (ex * ex + ey * ey))) AS t FROM o CROSS JOIN e),
+m AS (SELECT object_id, layer, CASE WHEN min(ex * py - ey * px) >= 0 THEN 0.0 ELSE min(sqrt((px - t * ex) * (px - t * ex) + (py - t * ey) * (py - t * ey))) END AS d FROM d GROUP BY object_id, layer, target)
+SELECT object_id, round(min(d) FILTER (layer = 'water'), 3) AS dist_to_water_m, round(min(d) FILTER (layer = 'park'), 3) AS dist_to_park_m, CAST(NULL AS DOUBLE) AS dist_to_forest_m FROM m GROUP BY object_id"""
+
+
+@REGISTRY.add("geometry_distances", _distances_sql())
 def geometry_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = sql(spark, sf_dir, OBJECTS).select("object_id", "lat", "lon")
     return rounded(layers.geometry_distances(o, sql(spark, sf_dir, _SQUARES), ["water", "park", "forest"]).drop("lat", "lon"), 3)
@@ -96,7 +108,33 @@ def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.shape_features(o).drop("polygon_wkt_3857"))
 
 
-@REGISTRY.add("graph_metro_features")
+#: Edges of a shortest path to the nearest target, at most, in graphs of which every node has dozens of random edges.
+_HOPS = 12
+
+
+def _graph_sql() -> str:
+    """Paths from all targets by relaxing all edges _HOPS times; from each target alone over edges shorter than its radius."""
+    points = f"(SELECT 's' AS kind, 1000.0::DOUBLE AS near, target, lat, lon FROM {STATIONS} s UNION ALL SELECT 'e', 500.0::DOUBLE, target, lat, lon FROM {ENTRANCES} t)"
+    snap = lambda keys, rows: f"SELECT {keys}, m.v AS v, {haversine('lat', 'lon', 'm.lat', 'm.lon')} AS snap FROM (SELECT {keys}, any_value(p.lat) AS lat, any_value(p.lon) AS lon, min(struct_pack(o := power(p.lat - n.lat, 2) + power(p.lon - n.lon, 2), v := n.v, lat := n.lat, lon := n.lon)) AS m FROM {rows} p CROSS JOIN n GROUP BY {keys}) g"
+    ctes = [
+        f"s AS MATERIALIZED (SELECT from_lat, from_lon, to_lat, to_lon, length_m FROM {SEGMENTS} x)",
+        "n AS MATERIALIZED (SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) AS v FROM (SELECT from_lat AS lat, from_lon AS lon FROM s UNION SELECT to_lat, to_lon FROM s) y)",
+        "one AS MATERIALIZED (SELECT a.v AS u, b.v AS v, length_m AS len FROM s JOIN n a ON from_lat = a.lat AND from_lon = a.lon JOIN n b ON to_lat = b.lat AND to_lon = b.lon WHERE a.v <> b.v)",
+        "e AS MATERIALIZED (SELECT u, v, min(len) AS len FROM (SELECT u, v, len FROM one UNION ALL SELECT v, u, len FROM one) z GROUP BY u, v)",
+        f"here AS MATERIALIZED ({snap('object_id', OBJECTS)})",
+        f"ends AS MATERIALIZED ({snap('kind, near, target', points)})",
+        "a0 AS MATERIALIZED (SELECT kind, v, min(snap) AS d FROM ends GROUP BY kind, v)",
+        "b0 AS MATERIALIZED (SELECT kind, near, target, v, snap AS d FROM ends WHERE snap < near)",
+    ]
+    for i in range(_HOPS):
+        ctes.append(f"a{i + 1} AS MATERIALIZED (SELECT kind, v, min(d) AS d FROM (SELECT * FROM a{i} UNION ALL SELECT kind, e.v, d + len FROM a{i} a JOIN e ON e.u = a.v) z GROUP BY kind, v)")
+        ctes.append(f"b{i + 1} AS MATERIALIZED (SELECT kind, near, target, v, min(d) AS d FROM (SELECT * FROM b{i} UNION ALL SELECT kind, near, target, e.v, d + len FROM b{i} b JOIN e ON e.u = b.v WHERE len < near AND d + len < near) z GROUP BY kind, near, target, v)")
+    least = f"(SELECT object_id, min(snap + d) FILTER (kind = 's') AS s, min(snap + d) FILTER (kind = 'e') AS e FROM here JOIN a{_HOPS} a USING (v) GROUP BY object_id)"
+    close = f"(SELECT object_id, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 'e') AS e FROM here JOIN b{_HOPS} b USING (v) WHERE snap + d < near GROUP BY object_id)"
+    return f"WITH {', '.join(ctes)} SELECT o.object_id, round(coalesce(l.s, 1e9), 3) AS dist_metro_m, round(coalesce(l.e, 1e9), 3) AS dist_entrance_m, coalesce(c.s, 0) AS count_stations_1km, coalesce(c.e, 0) AS count_entrances_500m FROM {OBJECTS} o LEFT JOIN {least} l USING (object_id) LEFT JOIN {close} c USING (object_id)"
+
+
+@REGISTRY.add("graph_metro_features", _graph_sql())
 def graph_metro_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = sql(spark, sf_dir, OBJECTS).select("object_id", "lat", "lon")
     edges = graph.road_edges(ways(spark, sf_dir))
