@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from landgrid.llm.common import bounded, cut
+from landgrid.llm.common import bounded, cut, salted_totals
 from landgrid.llm.queries import BPE_PATTERN, BPE_RANKS, QUALITY_THRESHOLD
 
 
@@ -33,9 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     joined = cut(ngram_join.jaccard_join(rows.select("__row", "text"), id_col="__row").select("__row", "class_id"), "classes")
     named = joined.join(rows.select("__row", "doc_id"), "__row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    several = named.groupBy("class_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    several = several.select(F.col("class_id").alias("__class"), F.col("first.__row").alias("__stays"))
-    gone = cut(joined.join(several, F.col("class_id") == F.col("__class")).where("__row <> __stays").select(F.col("__row").alias("__gone")), "gone")
+    held = salted_totals(named, ["class_id"], F.col("__row"), {"first": first}, {"first": F.min("first")})
+    gone = cut(held.where("__row <> first.__row").select(F.col("__row").alias("__gone")), "gone")
     return rows.join(bounded(gone, gone.count(), 16), rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
