@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from landgrid.llm.common import bounded, cut, give_back, rows_at_a_time, salted_totals, small_batches
 
@@ -17,8 +18,6 @@ NO_ID = 2**63 - 1  # stands for null: no id is larger
 FLUSH = 1 << 20
 #: Surroundings sorted at once, and neighbours compared at once; an anchor's are never parted.
 SLICE = 1 << 14
-#: Floor of the number of buckets, below 128 * bucket_bytes of text. Above it rows a document still grow with the buckets (see the README).
-LEAST_BUCKETS = 128
 _powers: list[np.ndarray] = []
 
 
@@ -99,28 +98,21 @@ def _spread(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(doc.view(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """A row for each bucket with its columns as bytes; names not among the columns are null."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    cuts = _runs(b)
-    out = [pa.array(b[cuts[:-1]], pa.int32())]
-    for name in names:
-        if name in columns:
-            c = columns[name][order]
-            out.append(pa.array([c[s:e].tobytes() for s, e in zip(cuts, cuts[1:], strict=False)], pa.binary()))
-        else:
-            out.append(pa.nulls(len(cuts) - 1, pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["bucket", *names])
+def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A row for each anchor or range; columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-FOUND = ["hash", "doc", "off"]
+#: An anchor and its place; without a hash, a place already known to be shared, and its document's bucket.
+FOUND = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("doc", pa.int64()), ("off", pa.int32())])
+PLACES = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("off", pa.int32())])
 
 
 def _find(length: int, k: int, buckets: int):
-    """Anchors, packed by hash bucket. Those that several documents of one flush share are known to be repeated: they travel by document
-    as found, and only those of the smallest and largest document stand for them in the hash's bucket, so that a passage that
-    very many documents share makes no bucket large."""
+    """Anchors, a row each, whatever the number of buckets. Those that several documents of one flush share are known to be repeated: they
+    travel by document as found, and only those of the smallest and largest document stand for them in the hash's bucket, so that a
+    passage that very many documents share makes no bucket large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, texts in _flushes(batches):
@@ -139,47 +131,72 @@ def _find(length: int, k: int, buckets: int):
             size = np.diff(s)
             least, most = np.repeat(doc[s[:-1]], size), np.repeat(doc[s[1:] - 1], size)
             shared = least != most
-            if shared.any():
-                yield _packed(_spread(doc[shared], buckets), {"doc": doc[shared], "off": off[shared]}, FOUND)
+            yield _rows(FOUND, bucket=_spread(doc[shared], buckets), doc=doc[shared], off=off[shared])
             first = np.zeros(len(h), bool)
             first[s[:-1]] = True
             first[s[1:] - 1] = True
             send = ~shared | first
             off = np.where(shared, np.int32(-1), off)
-            yield _packed((h[send] % np.uint64(buckets)).astype(np.int32), {"hash": h[send], "doc": doc[send], "off": off[send]}, FOUND)
+            yield _rows(FOUND, bucket=(h[send] % np.uint64(buckets)).astype(np.int32), hash=h[send].view(np.int64), doc=doc[send], off=off[send])
 
     return run
 
 
-def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in group.column(name).to_pylist() if x is not None), kind)
+def _numbers(group: pa.Table, *names: str) -> list[np.ndarray]:
+    return [group.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in names]
 
 
-def _by_doc(doc: np.ndarray, value: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
+def _repeated(buckets: int):
+    """Places of the anchors that at least two documents have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        known, rest = group.filter(group.column("hash").is_null()), group.filter(group.column("hash").is_valid())
+        h, doc, off = _numbers(rest, "hash", "doc", "off")
+        order = np.lexsort((doc, h))
+        h, doc, off = h[order], doc[order], off[order]
+        s = _runs(h)
+        size = np.diff(s)
+        shared = (np.repeat(doc[s[:-1]], size) != np.repeat(doc[s[1:] - 1], size)) & (off >= 0) if len(h) else np.zeros(0, bool)
+        more = _numbers(known, "doc", "off")
+        doc, off = np.concatenate([doc[shared], more[0]]), np.concatenate([off[shared], more[1]])
+        return pa.Table.from_batches([_rows(PLACES, part=_spread(doc, buckets), doc=doc, off=off)])
+
+    return run
+
+
+def _places_of(group: pa.Table) -> pa.Table:
+    """A row for each document, with its places as bytes."""
+    doc, off = _numbers(group, "doc", "off")
+    order = np.lexsort((off, doc))
+    doc, off = doc[order], off[order]
     s = _runs(doc)
-    return pa.table({"doc": pa.array(doc[s[:-1]], pa.int64()), "at": pa.array([value[a:b].tobytes() for a, b in zip(s, s[1:], strict=False)], pa.binary())})
+    return pa.table({"doc": pa.array(doc[s[:-1]], pa.int64()), "at": pa.array([off[a:b].tobytes() for a, b in zip(s, s[1:], strict=False)], pa.binary())})
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """Places of the anchors that at least two documents have, by document."""
-    known = group.filter(group.column("hash").is_null())
-    rest = group.filter(group.column("hash").is_valid())
-    h, doc, off = _joined(rest, "hash", np.uint64), _joined(rest, "doc", np.int64), _joined(rest, "off", np.int32)
-    order = np.lexsort((doc, h))
-    h, doc, off = h[order], doc[order], off[order]
-    s = _runs(h)
-    size = np.diff(s)
-    shared = (np.repeat(doc[s[:-1]], size) != np.repeat(doc[s[1:] - 1], size)) & (off >= 0) if len(h) else np.zeros(0, bool)
-    return _by_doc(np.concatenate([doc[shared], _joined(known, "doc", np.int64)]), np.concatenate([off[shared], _joined(known, "off", np.int32)]))
+#: A repeated anchor and its surroundings, document bytes start to end; without a hash, a range that is covered, and its document's bucket.
+SNIPS = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("off", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.binary())])
+RANGES = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _as_binary(text: np.ndarray) -> pa.Array:
+    n, wide = text.shape
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(wide)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))])
 
 
-SNIPS = ["hash", "doc", "row", "off", "left", "right", "text"]
+def _as_matrix(column: pa.ChunkedArray, wide: int) -> np.ndarray:
+    """Rows of bytes of a column of values of `wide` bytes."""
+    parts = []
+    for c in column.chunks:
+        c = c.cast(pa.large_binary())
+        starts = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        if len(c):
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[starts[0] : starts[-1]])
+    return np.concatenate([*parts, np.zeros(0, np.uint8)]).reshape(-1, wide)
 
 
 def _snippets(length: int, k: int, buckets: int):
-    """The surroundings of every repeated anchor in which a window of `length` bytes may hold it, packed by the anchor's bucket.
+    """The surroundings of every repeated anchor in which a window of `length` bytes may hold it, a row each.
     Of equal ones in a flush only those of the smallest document go; the others are covered, and travel as ranges by document."""
     reach = length - k
 
@@ -187,7 +204,7 @@ def _snippets(length: int, k: int, buckets: int):
         for docs, rows, places, texts in _flushes(batches):
             doc, row, off, left, right, text, h = [], [], [], [], [], [], []
             for d, r, at, t in zip(docs, rows, places, texts, strict=True):
-                o = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in at])).astype(np.int64)
+                o = np.unique(np.frombuffer(at, np.int32)).astype(np.int64)
                 o = o[o + k <= len(t)]
                 if not len(o):
                     continue
@@ -206,10 +223,9 @@ def _snippets(length: int, k: int, buckets: int):
             p = prefix_hashes(text)
             h = _mixed((p[:, reach + k] - p[:, reach]) * _power_tables(reach + 1)[1][reach])
             covered, kept = _collapse(h, p[:, -1], doc, left, right, text)
-            if covered.any():
-                start, end = off[covered] - left[covered], off[covered] + k + right[covered]
-                yield _packed(_spread(doc[covered], buckets), {"doc": doc[covered], "row": row[covered], "off": np.stack([start, end], 1).astype(np.int32)}, SNIPS)
-            yield _packed((h[kept] % np.uint64(buckets)).astype(np.int32), {"hash": h[kept], "doc": doc[kept], "row": row[kept], "off": off[kept], "left": left[kept], "right": right[kept], "text": text[kept]}, SNIPS)
+            start, end = off - left, off + k + right
+            yield _rows(SNIPS, bucket=_spread(doc[covered], buckets), doc=doc[covered], row=row[covered], start=start[covered], end=end[covered])
+            yield _rows(SNIPS, bucket=(h[kept] % np.uint64(buckets)).astype(np.int32), hash=h[kept].view(np.int64), doc=doc[kept], row=row[kept], off=off[kept], start=start[kept], end=end[kept], text=_as_binary(text[kept]))
 
     return run
 
@@ -357,52 +373,55 @@ def shared_windows(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, right:
     return r[out], a[out]
 
 
-def _decide(length: int, k: int):
-    """Ranges to remove, by document and row."""
+def _decide(length: int, k: int, buckets: int):
+    """Ranges to remove: of each surroundings, runs of bytes that its shared windows cover."""
     reach = length - k
 
     def run(group: pa.Table) -> pa.Table:
-        known = group.filter(group.column("hash").is_null())
-        rest = group.filter(group.column("hash").is_valid())
-        doc, row, off = [_joined(known, "doc", np.int64)], [_joined(known, "row", np.int64)], [_joined(known, "off", np.int32).reshape(-1, 2)]
-        h = _joined(rest, "hash", np.uint64)
-        if len(h):
-            c = {"doc": np.int64, "row": np.int64, "off": np.int32, "left": np.uint8, "right": np.uint8}
-            c = {n: _joined(rest, n, t) for n, t in c.items()}
-            text = _joined(rest, "text", np.uint8).reshape(len(h), length + reach)
-            covered, kept = _collapse(h, prefix_hashes(text)[:, -1], c["doc"], c["left"], c["right"], text)
-
-            def put(i: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-                doc.append(c["doc"][i])
-                row.append(c["row"][i])
-                off.append(np.stack([start, end], 1).astype(np.int32))
-
-            i = np.flatnonzero(covered)
-            put(i, c["off"][i] - c["left"][i], c["off"][i] + k + c["right"][i])
+        known, rest = group.filter(group.column("hash").is_null()), group.filter(group.column("hash").is_valid())
+        names = ["doc", "row", "start", "end"]
+        out = [_numbers(known, *names)]
+        if len(rest):
+            h, doc, off = _numbers(rest, "hash", "doc", "off")
+            row, start, end = _numbers(rest, "row", "start", "end")
+            left, right = (off - start).astype(np.uint8), (end - off - k).astype(np.uint8)
+            text = _as_matrix(rest.column("text"), length + reach)
+            covered, kept = _collapse(h.view(np.uint64), prefix_hashes(text)[:, -1], doc, left, right, text)
+            out.append([c[covered] for c in (doc, row, start, end)])
             i = np.flatnonzero(kept)
             i = i[np.argsort(h[i], kind="stable")]
             s = _runs(h[i])
-            several = np.repeat(np.minimum.reduceat(c["doc"][i], s[:-1]) != np.maximum.reduceat(c["doc"][i], s[:-1]), np.diff(s))
+            several = np.repeat(np.minimum.reduceat(doc[i], s[:-1]) != np.maximum.reduceat(doc[i], s[:-1]), np.diff(s))
             i = i[several]
-            if len(i):
-                s = _runs(h[i])
-                parts = np.split(i, s[1:-1][np.diff(s[1:] // SLICE) > 0])
-                for i in parts:
-                    r, a = shared_windows(h[i], c["doc"][i], c["left"][i], c["right"][i], text[i], length, k)
-                    start = c["off"][i[r]] - reach + a
-                    put(i[r], start, start + length)
-        doc, row, off = np.concatenate(doc), np.concatenate(row), np.concatenate(off)
-        wide = off[:, 1] - off[:, 0] >= length
-        doc, row, off = doc[wide], row[wide], off[wide]
-        order = np.lexsort((off[:, 0], row, doc))
-        doc, row, off = doc[order], row[order], off[order]
-        s = _runs(doc) if not len(doc) else np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1, [len(doc)]])
+            s = _runs(h[i])
+            for i in np.split(i, s[1:-1][np.diff(s[1:] // SLICE) > 0]) if len(i) else []:
+                r, a = shared_windows(h[i], doc[i], left[i], right[i], text[i], length, k)
+                order = np.lexsort((a, r))
+                r, a = r[order], a[order]
+                # Windows that follow one another, or touch, make one range.
+                s = np.concatenate([[0], np.flatnonzero((r[1:] != r[:-1]) | (a[1:] - a[:-1] > length)) + 1]) if len(r) else np.zeros(0, np.int64)
+                last = np.append(s[1:], len(r)) - 1 if len(r) else s
+                r, a, z = i[r[s]], a[s], a[last]
+                out.append([doc[r], row[r], off[r] - reach + a, off[r] - reach + z + length])
+        columns = dict(zip(names, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True))
+        wide = columns["end"] - columns["start"] >= length
+        columns = {n: c[wide] for n, c in columns.items()}
         give_back()
-        return pa.table({"doc": pa.array(doc[s[:-1]], pa.int64()), "row": pa.array(row[s[:-1]], pa.int64()), "at": pa.array([merged(off[x:y]).astype(np.int32).tobytes() for x, y in zip(s, s[1:], strict=False)], pa.binary())})
+        return pa.Table.from_batches([_rows(RANGES, part=_spread(columns["doc"], buckets), **columns)])
 
     return run
 
 
+def _ranges_of(group: pa.Table) -> pa.Table:
+    """A row for each document and text, with its ranges, united, as bytes."""
+    doc, row, start, end = _numbers(group, "doc", "row", "start", "end")
+    order = np.lexsort((start, row, doc))
+    doc, row, at = doc[order], row[order], np.stack([start, end], 1)[order]
+    s = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1, [len(doc)]])
+    united = [merged(at[x:y]).astype(np.int32).tobytes() for x, y in zip(s, s[1:], strict=False)]
+    return pa.table({"doc": pa.array(doc[s[:-1]], pa.int64()), "row": pa.array(row[s[:-1]], pa.int64()), "at": pa.array(united, pa.binary())})
+
+
 def merged(ranges: np.ndarray) -> np.ndarray:
     """Ranges (start, end), in any order, united where they overlap or touch."""
     if not len(ranges):
@@ -418,8 +437,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_at_a_time(batches):
         spans, kept = [], []
         for at, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            # A null among the ranges stands for the whole text.
-            r = np.array([[0, len(text)]]) if at and at[0] is None else merged(np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in at])) if at else np.zeros((0, 2), np.int32)
+            # Empty bytes stand for the whole text.
+            r = np.array([[0, len(text)]]) if at == b"" else np.frombuffer(at or b"", np.int32).reshape(-1, 2)
             spans.append([{"start": int(a), "end": int(b)} for a, b in r])
             edges = [0, *r.ravel().tolist(), len(text)]
             kept.append(b"".join(text[edges[x] : edges[x + 1]] for x in range(0, len(edges), 2)))
@@ -434,35 +453,37 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 24, bucket_bytes
     other. Matches don't cross documents. Columns other than the two named aren't read.
 
     Of equal texts only the smallest document's is looked at: the others are covered whole. Then:
-    1. Of every window the smallest k-gram by hash is an anchor. Anchors are packed by hash bucket, and those of several documents found.
+    1. Of every window the smallest k-gram by hash is an anchor, a row each. They meet by hash bucket, and those of several documents are found.
     2. Around these, the surroundings of up to length - k bytes on each side are gathered by anchor. Equal ones collapse: all but the smallest
        document's are covered whole. Where the surroundings of one anchor differ, all suffixes that start in them are sorted (eight bytes at a
        time, then by hash-compared mergesort), neighbours verified by their bytes, and each run of equal `length`-byte prefixes is covered but for its smallest document.
     3. Ranges meet their text again and are cut out.
-    Buckets grow in number with the text, not in size; what many documents share is collapsed before it is sent.
+    Buckets grow in number with the text, not in size, and rows sent don't depend on their number; what many documents share is collapsed
+    before it is sent.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     at = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     total = at.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(LEAST_BUCKETS, -(-total // bucket_bytes)))
+    buckets = int(max(1, -(-total // bucket_bytes)))
     sums = at.where(F.octet_length("text") >= length).select("doc", "row", F.unhex(F.sha2("text", 256)).alias("sha"))
     least = salted_totals(sums, ["sha"], F.struct("doc", "row"), {"first": F.min("doc")}, {"first": F.min("first")})
     copies = cut(least.where("doc > first").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct(), "copies")
     copies = bounded(copies.withColumn("copy", F.lit(True)), copies.count(), 32)
     long = at.where(F.octet_length("text") >= length).join(copies, (F.col("doc") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left").drop("__doc", "__row")
-    whole = long.where("copy").select("id", F.array(F.lit(None).cast("binary")).alias("at"), "text")
+    whole = long.where("copy").select("id", F.lit(b"").alias("at"), "text")
     long = long.where("copy is null").drop("copy")
 
-    names = lambda columns: "bucket int, " + ", ".join(f"{c} binary" for c in columns)
-    found = long.select("doc", "text").mapInArrow(_find(length, k, buckets), names(FOUND))
-    places = found.groupBy("bucket").applyInArrow(_repeated, "doc bigint, at binary").groupBy("doc").agg(F.collect_list("at").alias("at"))
+    found = long.select("doc", "text").mapInArrow(_find(length, k, buckets), from_arrow_schema(FOUND))
+    places = found.groupBy("bucket").applyInArrow(_repeated(buckets), from_arrow_schema(PLACES))
+    places = places.groupBy("part").applyInArrow(_places_of, "doc bigint, at binary")
     places = cut(places, "places").withColumnRenamed("doc", "of")
     near = long.join(places, long.doc == places.of).select("doc", "row", "at", "text")
-    snips = near.mapInArrow(_snippets(length, k, buckets), names(SNIPS))
-    ranges = snips.groupBy("bucket").applyInArrow(_decide(length, k), "doc bigint, row bigint, at binary").groupBy("doc", "row").agg(F.collect_list("at").alias("at"))
+    snips = near.mapInArrow(_snippets(length, k, buckets), from_arrow_schema(SNIPS))
+    ranges = snips.groupBy("bucket").applyInArrow(_decide(length, k, buckets), from_arrow_schema(RANGES))
+    ranges = ranges.groupBy("part").applyInArrow(_ranges_of, "doc bigint, row bigint, at binary")
     ranges = cut(ranges, "ranges").select(F.col("doc").alias("of"), F.col("row").alias("of_row"), "at")
     both = long.join(ranges, (long.doc == ranges.of) & (long.row == ranges.of_row), "left").select("id", "at", "text")
-    short = at.where(F.octet_length("text") < length).select("id", F.lit(None).cast("array<binary>").alias("at"), "text")
+    short = at.where(F.octet_length("text") < length).select("id", F.lit(None).cast("binary").alias("at"), "text")
     return both.unionByName(whole).unionByName(short).mapInArrow(_apply, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").withColumnRenamed("id", id_col)
