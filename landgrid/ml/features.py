@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,8 @@ from landgrid.functions.geo import apply_steps, hex_steps
 MISSING = "__missing__"
 NOT_FEATURES = {"object_id", "asset_class", "lat", "lon", "synthetic_target_rub_per_m2", "cost_value_rub", "cad_num", "readable_address", "mun_source", "polygon_wkt_3857"}
 NOT_PREFIXES = ("parent_h3_p",)
+#: Bins of a tree's column; a tree splits no column of more categories (one bin is for unseen ones).
+BINS = 256
 
 
 def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -27,15 +29,27 @@ def prepared(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataF
     return df.withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.coalesce(c, F.lit(MISSING)) for c in categorical})
 
 
-def matrix_stages(numeric: list[str], categorical: list[str], one_hot: bool = False, out: str = "features") -> list:
-    """Stages that make the feature vector: medians for missing numbers, indices (or indicators) for categories; unseen ones are kept apart."""
+def wide_columns(df: DataFrame, categorical: list[str]) -> list[str]:
+    """The categorical columns of df with more values than a tree can split."""
+    n = df.select(*[F.count_distinct(c).alias(c) for c in categorical]).first() if categorical else {}
+    return [c for c in categorical if n[c] >= BINS]
+
+
+def matrix_stages(numeric: list[str], categorical: list[str], one_hot: bool = False, out: str = "features", wide: list[str] | None = None, label: str | None = None) -> list:
+    """Stages that make the feature vector: medians for missing numbers, indices (or indicators) for categories; unseen ones are kept apart.
+    Columns in `wide` become the smoothed mean of the label over the rows fitted on instead of an index."""
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__n" for c in numeric])] if numeric else []
     inputs = [f"{c}__n" for c in numeric]
     if categorical:
         stages.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep"))
         if one_hot:
             stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__o" for c in categorical], handleInvalid="keep"))
-        inputs += [f"{c}__{'o' if one_hot else 'i'}" for c in categorical]
+        wide = [c for c in wide or [] if not one_hot]
+        if wide:
+            stages.append(TargetEncoder(inputCols=[f"{c}__i" for c in wide], outputCols=[f"{c}__t" for c in wide], labelCol=label, targetType="continuous", handleInvalid="keep", smoothing=10.0))
+            # The encoder hands on the index's attributes, by which a tree would still take the mean for a category.
+            stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(f'`{c}__t` + 0D AS `{c}__w`' for c in wide)} FROM __THIS__"))
+        inputs += [f"{c}__{'o' if one_hot else 'w' if c in wide else 'i'}" for c in categorical]
     return [*stages, VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep")]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.ml import metrics
-from landgrid.ml.features import feature_columns, matrix_stages, prepared, with_folds
+from landgrid.ml.features import BINS, feature_columns, matrix_stages, prepared, wide_columns, with_folds
 from landgrid.scratch import cut
 from landgrid.sources.readers import run_folders
 from landgrid.sources.sinks import log_run
@@ -21,9 +21,9 @@ NAIVE_NUMERIC, NAIVE_CATEGORICAL = ["lat", "lon", "levels", "flats", "area_m2",
 QUARTET = ["black", "white", "grey", "naive"]
 
 
-def black(numeric: list[str], categorical: list[str], label: str, iterations: int = 100, depth: int = 6, rate: float = 0.05, seed: int = 42) -> Pipeline:
-    """Boosted trees."""
-    return Pipeline(stages=[*matrix_stages(numeric, categorical), GBTRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed, maxBins=256)])
+def black(numeric: list[str], categorical: list[str], label: str, iterations: int = 100, depth: int = 6, rate: float = 0.05, seed: int = 42, wide: list[str] | None = None) -> Pipeline:
+    """Boosted trees. wide: categorical columns of more values than BINS."""
+    return Pipeline(stages=[*matrix_stages(numeric, categorical, wide=wide, label=label), GBTRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed, maxBins=BINS)])
 
 
 def white(numeric: list[str], categorical: list[str], label: str, bins: int = 32, pairs: int = 1) -> Pipeline:
@@ -49,9 +49,9 @@ def white(numeric: list[str], categorical: list[str], label: str, bins: int = 32
     return Pipeline(stages=[*stages, LinearRegression(featuresCol="features", labelCol=label, predictionCol="y_pred", regParam=1e-3, elasticNetParam=0.0, solver="auto")])
 
 
-def grey(numeric: list[str], categorical: list[str], label: str, depth: int = 10) -> Pipeline:
-    """One tree, fitted on the black model's predictions."""
-    return Pipeline(stages=[*matrix_stages(numeric, categorical), DecisionTreeRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", maxDepth=depth, maxBins=256)])
+def grey(numeric: list[str], categorical: list[str], label: str, depth: int = 10, wide: list[str] | None = None) -> Pipeline:
+    """One tree, fitted on the black model's predictions. wide: categorical columns of more values than BINS."""
+    return Pipeline(stages=[*matrix_stages(numeric, categorical, wide=wide, label=label), DecisionTreeRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", maxDepth=depth, maxBins=BINS)])
 
 
 def naive(columns: list[str], label: str) -> Pipeline:
@@ -76,10 +76,11 @@ def train_quartet(objects: DataFrame, folds: int = 5, parent_resolution: int = 7
     numeric = [c for c in numeric if c != target and counts[c]]  # a column without any value tells nothing, and has no median
     own = prepared(objects.where(F.col(target).isNotNull()), [*numeric, *[c for c in ("lat", "lon") if c not in numeric]], categorical).withColumn("y_true", F.col(target).cast("double"))
     data = cut(with_folds(own, folds, parent_resolution, seed), "training")
-    kinds = {"black": black(numeric, categorical, "y_true", iterations, seed=seed), "white": white(numeric, categorical, "y_true"), "naive": naive(data.columns, "y_true")}
+    many = wide_columns(data, categorical)
+    kinds = {"black": black(numeric, categorical, "y_true", iterations, seed=seed, wide=many), "white": white(numeric, categorical, "y_true"), "naive": naive(data.columns, "y_true")}
     oof = {k: cut(cross_validated(data, p, folds, ["object_id"]).withColumnRenamed("y_pred", k), "oof") for k, p in kinds.items()}
     told = cut(data.join(oof["black"].select("object_id", F.col("black").alias("y_black")), "object_id"), "told")
-    kinds["grey"] = grey(numeric, categorical, "y_black")
+    kinds["grey"] = grey(numeric, categorical, "y_black", wide=many)
     oof["grey"] = cut(cross_validated(told, kinds["grey"], folds, ["object_id"]).withColumnRenamed("y_pred", "grey"), "oof")
     wide = data.select("object_id", "lat", "lon", "fold_id", "y_true")
     for k in QUARTET:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from landgrid.ml import features as mlf
-from landgrid.ml import metrics
+from landgrid.ml import metrics, models
 from landgrid.operators import hexgrid, objects, registry
 from landgrid.plans import pipelines, serving
 from landgrid.schemas import SchemaError, require_columns
@@ -194,8 +194,6 @@ def test_buildings_as_points(spark):
 
 
 def test_models_are_kept_and_found(spark):
-    from landgrid.ml import models
-
     o = spark.range(120).selectExpr("cast(id as string) object_id", "'apartment' as asset_class", f"{LAT} + (id % 12) * 0.02 as lat", f"{LON} + (id div 12) * 0.03 as lon", "cast(id % 9 as bigint) levels", "case when id % 5 = 0 then null else 'brick' end materials", "cast(1000 + (id % 9) * 50 as double) synthetic_target_rub_per_m2")
     base = scratch_path(spark, "registry")
     models.train_and_log(o, base, "quartet-apartment", folds=2, iterations=3)
@@ -205,3 +203,13 @@ def test_models_are_kept_and_found(spark):
     assert readers.latest_predictions(spark, base, ["quartet-apartment"]).count() == 120
     with pytest.raises(FileNotFoundError):
         models.load_latest(spark, base, "quartet")
+
+
+def test_trees_take_any_number_of_categories(spark):
+    o = spark.range(1_200).selectExpr("CAST(id AS STRING) AS object_id", "55 + (id % 40) * 0.01 AS lat", "49 + (id % 30) * 0.01 AS lon", "concat('s', id % 401) AS settlement_name", "id % 9 AS levels", "(id % 401) * 100.0 + id % 9 AS synthetic_target_rub_per_m2")
+    oof, table, _ = models.train_quartet(o, folds=2, iterations=3)
+    assert oof.count() == 1_200 and {r.model for r in table.collect()} == set(models.QUARTET)
+    fitted = models.grey(["levels"], ["settlement_name"], "y", wide=["settlement_name"]).fit(o.selectExpr("CAST(levels AS DOUBLE) AS levels", "settlement_name", "synthetic_target_rub_per_m2 AS y"))
+    unseen = spark.createDataFrame([(1.0, "nowhere"), (1.0, "s3"), (1.0, "s390")], "levels double, settlement_name string")
+    got = {r.settlement_name: r.y_pred for r in fitted.transform(unseen).collect()}
+    assert got["s3"] < got["nowhere"] < got["s390"]
