@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.operators.hexgrid import segments
@@ -56,6 +57,13 @@ def _cell(box: dict[str, float], lat: str, lon: str) -> Column:
     return _interleaved(inside(part(lon, box["w"], box["e"])), inside(part(lat, box["s"], box["n"])))
 
 
+def _runs(spark: SparkSession, first: list[int]) -> DataFrame:
+    """(__run, __block, __later) for each run of 2**BITS cells: the block that its first cell is in, and the cells of the run where later
+    blocks begin. first: the cell that each block begins with, in order."""
+    ends = [bisect.bisect_right(first, run << BITS) for run in range(1 << BITS)] + [len(first)]
+    return spark.createDataFrame([(run, max(i - 1, 0), first[max(i, 1) : max(j, 1)]) for run, (i, j) in enumerate(zip(ends, ends[1:], strict=False))], "__run int, __block int, __later array<int>")
+
+
 def _pack(group: pa.Table) -> pa.Table:
     """A block as one row: its nodes, sorted; edges within it and edges that leave it, by the node they start from."""
     at = {c: group.column(c).to_numpy() for c in ("from_lat", "from_lon", "to_lat", "to_lon", "length_m", "to_block")}
@@ -149,27 +157,30 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     if r.s is None:
         return least.select(*names)
     box = r.asDict()
-    # At most 4**BITS cells: small enough for one window and for a broadcast.
+    # At most 4**BITS cells: small enough for one window, not for the driver, which gets a number for each block.
     cells = both.groupBy(_cell(box, "from_lat", "from_lon").alias("cell")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cut(cells.select("cell", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_EDGES).cast("int").alias("block")), "blocks")
+    cells = cells.select("cell", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_EDGES).alias("block"))
+    runs = _runs(both.sparkSession, sorted(x.first_cell for x in cells.groupBy("block").agg(F.min("cell").alias("first_cell")).collect()))
 
     def blocked(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
-        return df.withColumn("__c", _cell(box, lat, lon)).join(F.broadcast(cells.select(F.col("cell").alias("__c"), F.col("block").alias(name))), "__c").drop("__c")
+        at = df.withColumn("__c", _cell(box, lat, lon)).withColumn("__run", F.shiftright("__c", BITS)).join(F.broadcast(runs), "__run")
+        return at.withColumn(name, F.when(F.size("__later") == 0, F.col("__block")).otherwise(F.col("__block") + F.size(F.filter("__later", lambda x: x <= F.col("__c"))))).drop("__c", *runs.columns)
 
     n = tasks(both)
     packed = ", ".join(f"{k} binary" for k in PACKED)
     graph = blocked(blocked(both, "from_lat", "from_lon", "block"), "to_lat", "to_lon", "to_block")
     graph = cut(graph.repartition(n, "block").groupBy("block").applyInArrow(_pack, f"block int, {packed}"), "graph")
-    found, sent = None, blocked(least, "lat", "lon", "block")
+    found, touched, sent = None, None, blocked(least, "lat", "lon", "block")
     while True:
         fresh = sent.select(*PATH_NAMES, F.lit(True).alias("fresh"))
-        paths = fresh if found is None else fresh.unionByName(found.join(F.broadcast(sent.select("block").distinct()), "block", "left_semi").select(*PATH_NAMES, F.lit(False).alias("fresh")))
+        paths = fresh if found is None else fresh.unionByName(found.join(F.broadcast(touched), "block", "left_semi").select(*PATH_NAMES, F.lit(False).alias("fresh")))
         left, right = graph.repartition(n, "block").groupBy("block"), paths.repartition(n, "block").groupBy("block")
         step = cut(left.cogroup(right).applyInArrow(_advance, PATH + ", sent boolean"), "step")
         better = step.where("not sent").select(*PATH_NAMES)
         found = better if found is None else found.unionByName(better)
         found = cut(found.groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m")), "found")
+        touched = step.where("sent").select("block").distinct()
         sent = step.where("sent").groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m"))
         if step.where("sent").isEmpty():
             break

@@ -256,3 +256,31 @@ def test_many_stations_are_joined_to_the_same_features(spark, monkeypatch):
     few = rows()
     monkeypatch.setattr(hexgrid, "MOST_POINTS", 1)
     assert rows() == few and len(few) > 20
+
+
+def test_blocks_of_a_graph_send_no_row_for_each_cell(spark, monkeypatch):
+    """Before, every cell that holds an edge was broadcast, up to 2**20 rows through the driver; now a row for each run of cells."""
+    sent, broadcast = [], graph.F.broadcast
+    monkeypatch.setattr(graph.F, "broadcast", lambda df: (sent.append(df.count()), broadcast(df))[1])
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 700)
+    rng = np.random.default_rng(4)
+    # Half of the nodes lie so close together that one run of cells holds several blocks.
+    at_ = [at(float(x), float(y)) for x, y in np.concatenate([rng.uniform(0, 30000, (1500, 2)), rng.uniform(10000, 10800, (1500, 2))])]
+    ends = [(i, i + 1) for i in range(len(at_) - 1)]
+    df = spark.createDataFrame([(*at_[i], *at_[j], haversine(*at_[i], *at_[j])) for i, j in ends], "from_lat double, from_lon double, to_lat double, to_lon double, length_m double")
+    starts = spark.createDataFrame([("s", 1500.0, *at_[i], 0.0) for i in (0, 1490, 2000)], "label string, limit_m double, lat double, lon double, path_m double")
+    got = {(r.lat, r.lon): r.path_m for r in graph.shortest_paths(df, starts).collect()}
+    along = np.concatenate([[0.0], np.cumsum([haversine(*at_[i], *at_[j]) for i, j in ends])])
+    least = np.min([np.abs(along - along[i]) for i in (0, 1490, 2000)], axis=0)
+    want = {a: d for a, d in zip(at_, least, strict=True) if d < 1500.0}
+    assert got.keys() == want.keys() and len(want) > 4 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert sent and max(sent) <= 1 << graph.BITS
+
+
+@pytest.mark.parametrize("first", [[0], [7], [0, 5, 1024, 1030, 5000], [3, 1023, 1 << 19, (1 << 20) - 1]])
+def test_runs_of_cells_give_each_cell_its_block(spark, first):
+    runs = {r[0]: (r[1], r[2]) for r in graph._runs(spark, first).collect()}
+    assert len(runs) == 1 << graph.BITS and sum(len(later) for _, later in runs.values()) <= len(first)
+    for c in {x + d for x in first for d in (-1, 0, 1, 1024)} & set(range(1 << 20)):
+        block, later = runs[c >> graph.BITS]
+        assert block + sum(x <= c for x in later) == max(np.searchsorted(first, c, side="right") - 1, 0)
