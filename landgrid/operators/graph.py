@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landgrid.functions.geo import EARTH_M
 from landgrid.operators.hexgrid import segments
 from landgrid.operators.radius import tasks
 from landgrid.operators.spatial import nearest_points
-from landgrid.scratch import cut
+from landgrid.scratch import cut, free
 
 #: Distance of an object that no path leads to.
 UNREACHED_M = 1e9
@@ -29,10 +31,20 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")).union(edges.select("to_lat", "to_lon")).distinct()
 
 
+def _first_m(nodes: DataFrame) -> float:
+    """The radius of the first ring: 62.5 m, or less where nodes are so dense that all but a few points have one within half of less."""
+    r = nodes.agg(F.count("*").alias("n"), F.min("lat").alias("s"), F.max("lat").alias("n_"), F.min("lon").alias("w"), F.max("lon").alias("e")).first()
+    if not r.n or r.s is None:
+        return 62.5
+    high = math.radians(r.n_ - r.s) * EARTH_M
+    wide = math.radians(r.e - r.w) * EARTH_M * math.cos(math.radians((r.s + r.n_) / 2))
+    return min(62.5, max(1.0, 4 * math.sqrt(high * wide / math.pi / r.n)))
+
+
 def snapped(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, node_lat, node_lon, snap_m): each point's nearest node by squared degrees, and how far it is in metres."""
     degrees2 = F.pow(F.col("lat") - F.col("r_lat"), F.lit(2)) + F.pow(F.col("lon") - F.col("r_lon"), F.lit(2))
-    return nearest_points(points, nodes, key, degrees2).select(key, F.col("r_lat").alias("node_lat"), F.col("r_lon").alias("node_lon"), F.col("distance_m").alias("snap_m"))
+    return nearest_points(points, nodes, key, degrees2, _first_m(nodes)).select(key, F.col("r_lat").alias("node_lat"), F.col("r_lon").alias("node_lon"), F.col("distance_m").alias("snap_m"))
 
 
 #: A block of the graph holds about so many directed edges (30 bytes each). Blocks are runs of cells of a square grid of so many bits a side.
@@ -106,7 +118,7 @@ def _advance(graph: pa.Table, paths: pa.Table) -> pa.Table:
     cost, limits, fresh = paths.column("path_m").to_numpy(), paths.column("limit_m").to_numpy(), paths.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((cost, label))
     cuts = np.searchsorted(label[order], np.arange(len(names) + 1))
-    made = [empty]
+    made: dict[str, list[np.ndarray]] = {k: [] for k in ("block", "label", "limit_m", "at", "path_m", "sent")}
     for i, name in enumerate(names):
         own = order[cuts[i] : cuts[i + 1]]
         limit, best, heap, better = float(limits[own[0]]), {}, [], {}
@@ -137,23 +149,99 @@ def _advance(graph: pa.Table, paths: pa.Table) -> pa.Table:
         e, far = e[one], far[one]
         where = np.concatenate([g["nodes"][u], g["out_to"][e]])
         n = len(where)
-        made.append(pa.table({"block": pa.array(np.concatenate([np.full(len(u), block, np.int32), g["out_block"][e]])), "label": pa.array([name] * n, pa.string()), "limit_m": np.full(n, limit), "lat": where.real.copy(), "lon": where.imag.copy(), "path_m": np.concatenate([d, far]), "sent": np.arange(n) >= len(u)}))
-    return pa.concat_tables(made)
+        for k, v in (("block", np.concatenate([np.full(len(u), block, np.int32), g["out_block"][e]])), ("label", np.full(n, i, np.int32)), ("limit_m", np.full(n, limit)), ("at", where), ("path_m", np.concatenate([d, far])), ("sent", np.arange(n) >= len(u))):
+            made[k].append(v)
+    if not made["at"]:
+        return empty
+    out = {k: np.concatenate(v) for k, v in made.items()}
+    label = pa.DictionaryArray.from_arrays(pa.array(out["label"]), pa.array(names.tolist(), pa.string())).cast(pa.string())
+    return pa.table({"block": out["block"], "label": label, "limit_m": out["limit_m"], "lat": out["at"].real.copy(), "lon": out["at"].imag.copy(), "path_m": out["path_m"], "sent": out["sent"]})
+
+
+#: Graphs with more than twice so many directed edges a node are searched over about so many of the shortest first, for so many labels at most.
+FIRST_EDGES, MOST_LABELS = 8, 16
+#: Nodes that may be broadcast: 24 bytes each.
+MOST_SENT = 1 << 15
+START = ["label", "limit_m", "lat", "lon"]
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(label, lat, lon, path_m): least path by undirected edges from any start of a label to each node nearer than the label's limit.
 
-    starts: label, limit_m, lat, lon, path_m (what it costs to begin). The graph is cut into blocks of about BLOCK_EDGES edges that lie
-    together; in each round every block that something came in for searches on from there, and sends what leaves it to other blocks, until
-    nothing does. A path takes as many rounds as it changes blocks. Rounds are written to the shared folder.
+    starts: label, limit_m, lat, lon, path_m (what it costs to begin).
     """
-    ends = edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m").where("length_m is not null and (from_lat <> to_lat or from_lon <> to_lon)")
-    both = cut(ends.union(ends.select("to_lat", "to_lon", "from_lat", "from_lon", "length_m")), "both")
-    least = starts.groupBy("label", "limit_m", "lat", "lon").agg(F.min("path_m").alias("path_m")).where("path_m < limit_m")
-    least = cut(least, "starts")
-    r = both.agg(F.min("from_lat").alias("s"), F.max("from_lat").alias("n"), F.min("from_lon").alias("w"), F.max("from_lon").alias("e")).first()
+    edges = cut(edges.select(*EDGE), "ends")
+    return _paths(edges, cut(graph_nodes(edges), "nodes"), starts)
+
+
+EDGE = ["from_lat", "from_lon", "to_lat", "to_lon", "length_m"]
+
+
+def _paths(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """shortest_paths of edges and their nodes that are stored.
+
+    Where nodes have many edges and labels are few, the shortest edges are searched first. What a label needs to a node by these is an upper
+    bound: an edge as long as the largest bound of the node that it leads to shortens no path. Few of the longer ones are left to search on with.
+    """
+    ends = edges.select(*EDGE).where("length_m is not null and (from_lat <> to_lat or from_lon <> to_lon)")
+    least = cut(starts.groupBy(*START).agg(F.min("path_m").alias("path_m")).where("path_m < limit_m"), "starts")
+    limits = [r.limit_m for r in least.select("label", "limit_m").distinct().limit(MOST_LABELS + 1).collect()]
+    n = 2 * ends.count() if 0 < len(limits) <= MOST_LABELS else 0
+    if n <= BLOCK_EDGES or n <= 2 * FIRST_EDGES * (count := nodes.count()):
+        found = _search(cut(_both_ways(ends), "both"), least)
+    else:
+        short_m = ends.agg(F.percentile_approx("length_m", FIRST_EDGES * count / n, 10000)).first()[0]
+        short = _both_ways(ends.where(F.col("length_m") <= short_m))
+        found = _least(_search(cut(short, "both"), least), least)
+        longer = cut(_useful(_both_ways(ends.where(F.col("length_m") > short_m)), found, nodes, limits), "longer")
+        better = cut(_shortened(longer, found), "better")
+        if not better.isEmpty():
+            found = _search(cut(short.union(_both_ways(longer)), "both"), better, found)
+    # A start that no edge touches reaches itself.
     names = ["label", "lat", "lon", "path_m"]
+    return found.select(*names).union(least.select(*names)).groupBy(*names[:3]).agg(F.min("path_m").alias("path_m"))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(*EDGE).union(edges.select("to_lat", "to_lon", "from_lat", "from_lon", "length_m"))
+
+
+def _least(found: DataFrame, starts: DataFrame) -> DataFrame:
+    return cut(found.unionByName(starts).groupBy(*START).agg(F.min("path_m").alias("path_m")), "found")
+
+
+def _useful(edges: DataFrame, found: DataFrame, nodes: DataFrame, limits: list[float]) -> DataFrame:
+    """Of directed edges those that may shorten a path, with need_m: the most that any label is known to need to the node that they lead to,
+    or the largest limit where a label doesn't get there. Most edges are longer than almost all needs; of these only what leads to the other
+    nodes is looked at."""
+    known = found.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.max("path_m").alias("most_m"))
+    need = F.when(F.col("n") == len(limits), F.col("most_m")).otherwise(F.lit(max(limits)))
+    to = nodes.join(known.hint("merge"), ["lat", "lon"], "left").select(F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), need.alias("need_m"))
+    to = cut(to, "needs")
+    usual_m = to.agg(F.percentile_approx("need_m", 0.99)).first()[0]
+    far = to.where(F.col("need_m") > usual_m)
+    far = F.broadcast(far) if far.count() <= MOST_SENT else far.hint("merge")
+    usual = edges.where(F.col("length_m") < usual_m).join(to.hint("merge"), ["to_lat", "to_lon"])
+    return usual.union(edges.where(F.col("length_m") >= usual_m).join(far, ["to_lat", "to_lon"])).where("length_m < need_m")
+
+
+def _shortened(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """What found becomes shorter or longer-reaching by, one of the edges (with need_m) after a path that is known."""
+    start = found.select("label", "limit_m", F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), F.col("path_m").alias("before_m"))
+    far = edges.join(start.hint("merge"), ["from_lat", "from_lon"]).withColumn("path_m", F.col("before_m") + F.col("length_m")).where("path_m < limit_m and path_m < need_m")
+    far = far.groupBy("label", "limit_m", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")).agg(F.min("path_m").alias("path_m"))
+    return far.join(found.withColumnRenamed("path_m", "known_m").hint("merge"), START, "left").where("known_m is null or path_m < known_m").drop("known_m")
+
+
+def _search(both: DataFrame, least: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(label, limit_m, lat, lon, path_m): paths by edges, stored both ways, from what is new (least), where found is known already. Frees them.
+
+    The graph is cut into blocks of about BLOCK_EDGES edges that lie together; in each round every block that something came in for searches
+    on from there, and sends what leaves it to other blocks, until nothing does. A path takes as many rounds as it changes blocks. Rounds are
+    written to the shared folder, and freed when the next is.
+    """
+    r = both.agg(F.min("from_lat").alias("s"), F.max("from_lat").alias("n"), F.min("from_lon").alias("w"), F.max("from_lon").alias("e")).first()
+    names = [*START, "path_m"]
     if r.s is None:
         return least.select(*names)
     box = r.asDict()
@@ -171,21 +259,29 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     packed = ", ".join(f"{k} binary" for k in PACKED)
     graph = blocked(blocked(both, "from_lat", "from_lon", "block"), "to_lat", "to_lon", "to_block")
     graph = cut(graph.repartition(n, "block").groupBy("block").applyInArrow(_pack, f"block int, {packed}"), "graph")
-    found, touched, sent = None, None, blocked(least, "lat", "lon", "block")
+    free(both)
+    sent = blocked(least, "lat", "lon", "block")
+    touched, step = sent.select("block").distinct(), None
+    if found is not None:
+        found = cut(blocked(found, "lat", "lon", "block").select(*PATH_NAMES), "found")
     while True:
         fresh = sent.select(*PATH_NAMES, F.lit(True).alias("fresh"))
         paths = fresh if found is None else fresh.unionByName(found.join(F.broadcast(touched), "block", "left_semi").select(*PATH_NAMES, F.lit(False).alias("fresh")))
         left, right = graph.repartition(n, "block").groupBy("block"), paths.repartition(n, "block").groupBy("block")
-        step = cut(left.cogroup(right).applyInArrow(_advance, PATH + ", sent boolean"), "step")
+        before, step = (found, step), cut(left.cogroup(right).applyInArrow(_advance, PATH + ", sent boolean"), "step")
         better = step.where("not sent").select(*PATH_NAMES)
         found = better if found is None else found.unionByName(better)
         found = cut(found.groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m")), "found")
+        for old in before:
+            if old is not None:
+                free(old)
         touched = step.where("sent").select("block").distinct()
         sent = step.where("sent").groupBy(*[c for c in PATH_NAMES if c != "path_m"]).agg(F.min("path_m").alias("path_m"))
         if step.where("sent").isEmpty():
             break
-    # A start that no edge touches reaches itself.
-    return found.select(*names).union(least.select(*names)).groupBy("label", "lat", "lon").agg(F.min("path_m").alias("path_m"))
+    for old in (step, graph):
+        free(old)
+    return found.select(*names)
 
 
 PATH_NAMES = [c.split()[0] for c in PATH.split(", ")]
@@ -206,7 +302,7 @@ def graph_distances(objects: DataFrame, edges: DataFrame, targets: DataFrame, li
 
 
 def _joined(at: DataFrame, reach: DataFrame) -> DataFrame:
-    return at.join(reach, (F.col("node_lat") == F.col("lat")) & (F.col("node_lon") == F.col("lon"))).withColumn("distance_m", F.col("snap_m") + F.col("path_m"))
+    return at.join(reach.hint("merge"), (F.col("node_lat") == F.col("lat")) & (F.col("node_lon") == F.col("lon"))).withColumn("distance_m", F.col("snap_m") + F.col("path_m"))
 
 
 def metro_by_graph(objects: DataFrame, edges: DataFrame, stations: DataFrame, entrances: DataFrame) -> DataFrame:
@@ -216,7 +312,7 @@ def metro_by_graph(objects: DataFrame, edges: DataFrame, stations: DataFrame, en
     radius, over edges shorter than that.
     """
     out = objects.drop("dist_metro_m", "dist_entrance_m", "count_stations_1km", "count_entrances_500m")
-    edges = cut(edges.select("from_lat", "from_lon", "to_lat", "to_lon", "length_m"), "edges")
+    edges = cut(edges.select(*EDGE), "edges")
     nodes = cut(graph_nodes(edges), "nodes")
     at = snapped(objects.select("object_id", "lat", "lon"), nodes, "object_id")
     kinds = (("s", stations, "dist_metro_m", "count_stations_1km", 1000.0), ("e", entrances, "dist_entrance_m", "count_entrances_500m", 500.0))
@@ -225,11 +321,11 @@ def metro_by_graph(objects: DataFrame, edges: DataFrame, stations: DataFrame, en
         own = snapped(points.select(F.col("target").cast("string").alias("target"), "lat", "lon"), nodes, "target")
         own = own.select(F.lit(kind).alias("kind"), F.concat(F.lit(kind), "target").alias("target"), F.lit(near).alias("near"), F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"), F.col("snap_m").alias("path_m"))
         ends = own if ends is None else ends.unionByName(own)
-    least = shortest_paths(edges, ends.select(F.col("kind").alias("label"), F.lit(float("inf")).alias("limit_m"), "lat", "lon", "path_m"))
+    least = _paths(edges, nodes, ends.select(F.col("kind").alias("label"), F.lit(float("inf")).alias("limit_m"), "lat", "lon", "path_m"))
     close = shortest_paths(edges.where(F.col("length_m") < max(k[-1] for k in kinds)), ends.select(F.col("target").alias("label"), F.col("near").alias("limit_m"), "lat", "lon", "path_m"))
     first = lambda k: F.min(F.when(F.col("label") == k, F.col("distance_m")))
     least = _joined(at, least).groupBy("object_id").agg(*[first(k).alias(dist) for k, _, dist, _, _ in kinds])
     within = lambda k, near: F.count_if((F.substring("label", 1, 1) == k) & (F.col("distance_m") < near))
     close = _joined(at, close).groupBy("object_id").agg(*[within(k, near).alias(count) for k, _, _, count, near in kinds])
-    out = out.join(least, "object_id", "left").join(close, "object_id", "left")
+    out = out.join(least.hint("merge"), "object_id", "left").join(close.hint("merge"), "object_id", "left")
     return out.na.fill({"dist_metro_m": UNREACHED_M, "dist_entrance_m": UNREACHED_M, "count_stations_1km": 0, "count_entrances_500m": 0})

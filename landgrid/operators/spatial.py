@@ -33,7 +33,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
 
     Bands of latitude are at least a radius high and columns within a band at least a radius wide, so that what is near lies in the same or a
     neighbouring cell, around the globe: right, which should be the smaller side, is sent to nine cells at most, and the join is on the cell.
-    Null coordinates pair with nothing. Where only counts or sums are wanted, see radius.radius_totals.
+    Null coordinates pair with nothing. No side is broadcast, whatever its size in files, as millions of rows fit few compressed megabytes there.
+    Where only counts or sums are wanted, see radius.radius_totals.
     """
     step = math.degrees(radius_m / EARTH_M) * WIDER
     column = lambda lon, band: f"CAST(floor(({lon} + 180) / 360 * {_columns(band, step)}) AS BIGINT)"
@@ -41,7 +42,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     b = b.withColumn("__rb", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("r_lat") / step) + i)))
     b = b.withColumn("__rc", F.expr(f"explode(array_distinct(transform(array(-1L, 0L, 1L), i -> pmod({column('r_lon', '__rb')} + i, {_columns('__rb', step)}))))"))
-    pairs = a.join(b, (F.col("__band") == F.col("__rb")) & (F.col("__col") == F.col("__rc"))).withColumn("distance_m", haversine_col("lat", "lon", "r_lat", "r_lon"))
+    pairs = a.join(b.hint("merge"), (F.col("__band") == F.col("__rb")) & (F.col("__col") == F.col("__rc"))).withColumn("distance_m", haversine_col("lat", "lon", "r_lat", "r_lon"))
     return pairs.where(F.col("distance_m") < radius_m).drop("__band", "__col", "__rb", "__rc")
 
 
@@ -107,7 +108,7 @@ def nearest_points(left: DataFrame, right: DataFrame, key: str, order: Column |
             found = found.where(F.col("best.distance_m") < r / 2)
         found = cut(found.select(key, *[F.col(f"best.r_{c}") for c in right.columns], F.col("best.distance_m")), "ring")
         done = found if done is None else done.unionByName(found)
-        todo = cut(todo.join(found.select(key), key, "left_anti"), "left")
+        todo = cut(todo.join(found.select(key).hint("merge"), key, "left_anti"), "left")
         if todo.isEmpty():
             break
         r *= factor

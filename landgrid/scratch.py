@@ -58,4 +58,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Delete the files of a table that cut made and nothing will read again."""
+    fs, path = hadoop_path(df.sparkSession, df.scratch)
+    fs.delete(path, True)

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from landgrid import scratch
 from landgrid.functions import areas, discs, kernels
 from landgrid.functions.geo import with_utm
 from landgrid.operators import graph, layers, radius, spatial
@@ -284,3 +285,50 @@ def test_runs_of_cells_give_each_cell_its_block(spark, first):
     for c in {x + d for x in first for d in (-1, 0, 1, 1024)} & set(range(1 << 20)):
         block, later = runs[c >> graph.BITS]
         assert block + sum(x <= c for x in later) == max(np.searchsorted(first, c, side="right") - 1, 0)
+
+
+def test_no_join_of_the_graph_broadcasts_what_fits_few_megabytes_of_files(spark, monkeypatch):
+    """Before, objects and rings that are small as compressed files were broadcast through the driver by Spark's own choice."""
+    plans, stored = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
+    ways = [[(float(i), 0.0), (float(i + 90), 0.0)] for i in range(0, 900, 90)]
+    df = spark.createDataFrame([(*at(*a), *at(*b), haversine(*at(*a), *at(*b))) for a, b in ways], "from_lat double, from_lon double, to_lat double, to_lon double, length_m double")
+    df = scratch.cut(df, "few")
+    o = scratch.cut(points(spark, [("near", 100.0, 5.0), ("far", 890.0, 2000.0)]), "few")
+    s = scratch.cut(points(spark, [("1", 0.0, 0.0)]).withColumnRenamed("object_id", "target"), "few")
+    out = graph.metro_by_graph(o, df, s, s)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+    got = {r.object_id: (r.dist_metro_m, r.count_stations_1km) for r in out.collect()}
+    assert got["near"][0] == pytest.approx(90 + math.hypot(10, 5), abs=0.1) and got["near"][1] == 1 and got["far"][1] == 0
+
+
+@pytest.mark.parametrize(("limit", "sent"), [(math.inf, 1 << 15), (math.inf, 0), (900.0, 1 << 15)])
+def test_short_edges_first_give_the_same_paths(spark, monkeypatch, limit, sent):
+    """Nodes with dozens of random edges, some with only long ones, starts among these, and an edge that jumps between two parts."""
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 900)
+    monkeypatch.setattr(graph, "MOST_SENT", sent)
+    searched, search = [], graph._search
+    monkeypatch.setattr(graph, "_search", lambda both, least, found=None: (searched.append(both.count()), search(both, least, found))[1])
+    rng = np.random.default_rng(8)
+    n = 220
+    where = [at(float(x), float(y)) for x, y in rng.uniform(0, 3000, (n, 2))]
+    where += [at(9000.0 + 40 * i, 9000.0) for i in range(6)] + [at(3000.0 + i, 6000.0 - i) for i in range(8)]
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, n, (4500, 2)) if p[0] != p[1]}
+    pairs |= {(n + i, n + i + 1) for i in range(5)} | {(3, n)} | {(int(rng.integers(0, n)), n + 6 + i) for i in range(8)}
+    ends = [(i, j, haversine(*where[i], *where[j])) for i, j in sorted(pairs)]
+    df = spark.createDataFrame([(*where[i], *where[j], d) for i, j, d in ends], "from_lat double, from_lon double, to_lat double, to_lon double, length_m double")
+    starts = [("s", 5, 10.0), ("s", n + 7, 1.0), ("e", n + 9, 0.0), ("e", 40, 30.0)]
+    got = {(r.label, r.lat, r.lon): r.path_m for r in graph.shortest_paths(df, spark.createDataFrame([(k, limit, *where[i], d) for k, i, d in starts], "label string, limit_m double, lat double, lon double, path_m double")).collect()}
+    want = {}
+    for label in ("s", "e"):
+        best = np.full(len(where), np.inf)
+        for _, i, d in (x for x in starts if x[0] == label):
+            best[i] = d
+        for _ in where:
+            for i, j, d in ends:
+                best[i], best[j] = min(best[i], best[j] + d), min(best[j], best[i] + d)
+        want |= {(label, *where[i]): float(d) for i, d in enumerate(best) if d < limit}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    # Within 900 m no longer edge shortens a path: there is no second search.
+    assert len(searched) == (2 if limit == math.inf else 1) and searched[0] < len(ends)
